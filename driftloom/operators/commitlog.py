@@ -176,6 +176,12 @@ class _Boxed:
         return F.substring(text, F.lit(6), F.length(text) - 6)  # without {"v": and }
 
 
+def _renamed(names: Column) -> Column:
+    """The path with the names of its fields replaced."""
+    return F.transform("path", lambda p, i: F.struct(
+        p["kind"].alias("kind"), F.when(p["kind"] == "Field", F.get(names, i)).otherwise(p["name"]).alias("name"), p["idx"].alias("idx"), p["key"].alias("key")))
+
+
 def rewrite_opcodes(log: Log, m: Migration, remap: bool = True) -> tuple[DataFrame, list]:
     """(target opcodes, refusal sites): sites are (path, op, count frame columns) of policies that
     act. Opcodes of dropped attachments and of dropped fields are left out."""
@@ -202,7 +208,7 @@ def rewrite_opcodes(log: Log, m: Migration, remap: bool = True) -> tuple[DataFra
                 rows = rows.withColumn("_bad", bad).where(F.when(F.col("_bad").isNull(), True).otherwise(F.raise_error(F.col("_bad")).cast("boolean")))
             value = F.when(F.col("value").isNotNull(), _Boxed.write(r.node.value(F.col("_v"))))
         names = F.array(*map(F.lit, r.steps)).cast("array<string>") if r.steps else F.array().cast("array<string>")
-        path = F.transform("path", lambda p, i, names=names: F.struct(p["kind"].alias("kind"), F.when(p["kind"] == "Field", F.get(names, i)).otherwise(p["name"]).alias("name"), p["idx"].alias("idx"), p["key"].alias("key")))
+        path = _renamed(names)
         part = rows.select("commit_id", "op_index", "verb", F.lit(m.attachments[shape.attachment]).alias("attachment"), "key", path.alias("path"), value.alias("value"), "position", "before_position")
         out = part if out is None else out.unionByName(part)
     out = out if out is not None else live.drop("_steps").limit(0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from driftloom.catalog.catalog import Attachment, Struct
 from driftloom.catalog.types import Type
 from driftloom.functions import convert as C
 from driftloom.functions.nodes import IDENTITY, Node, Refused, Site, guarded, one
-from driftloom.plans.build import Migration, field_type
+from driftloom.plans.build import Migration, field_type, walk_types
 from driftloom.plans.directives import FAIL
 
 
@@ -83,19 +83,19 @@ class Context:
         """The value of a column of another attachment at a key; null where there is no row.
         ``rewritten`` reads the other attachment's migrated rows (their own lookups are not followed)."""
         other = self._other(attachment)
-        tag = f"_l{len(self.joins)}"
         at = ("lookup", other.id, str(key), rewritten)
         if at not in self.joins:
-            self.joins[at] = (tag, other, key, rewritten, set())
+            self.joins[at] = (f"_l{len(self.joins)}", other, key, rewritten, set())
         self.joins[at][4].add(column)
         return F.col(f"{self.joins[at][0]}.{column}")
 
     def fold(self, attachment: str, by: str, aggregate: Column, empty=None) -> Column:
         """An aggregate over the rows of another attachment whose column ``by`` holds the own key."""
         other = self._other(attachment)
-        tag = f"_f{len(self.joins)}"
-        self.joins["fold", other.id, by, str(aggregate), tag] = (tag, other, by, aggregate)
-        out = F.col(f"{tag}._fold")
+        at = ("fold", other.id, by, str(aggregate))
+        if at not in self.joins:
+            self.joins[at] = (f"_f{len(self.joins)}", other, by, aggregate)
+        out = F.col(f"{self.joins[at][0]}._fold")
         return out if empty is None else F.coalesce(out, F.lit(empty))
 
 
@@ -115,7 +115,6 @@ class Projection:
     sites: list[Site]
     context: Context
     migration: Migration
-    _key: str = field(default="", repr=False)
 
     def joined(self, rows: DataFrame, read: Callable[[str], DataFrame] | None) -> DataFrame:
         """The source rows with what the hooks look up. Joins are left joins on keys that are unique
@@ -344,8 +343,9 @@ class Compiler:
         """Dynamic values follow the rewrite of their type; a type the catalog does not know is
         refused. Plain values stay."""
         m = self.migration
-        changed = [s for s in m.source.structs if s.name in m.names and m.target.struct(m.names[s.name]) and (self.changes(s, (s.name,)) or m.names[s.name] != s.name)]
-        known = [x.name for x in m.source.types() if x.name not in m.directives.dropped_types]
+        # Structures that hold dynamic values themselves could nest without end; they are not followed.
+        changed = [s for s in m.source.structs if not self._dynamic(s) and m.target.struct(m.names[s.name]) and (self.changes(s, (s.name,)) or m.names[s.name] != s.name)]
+        known = [x.name for x in m.source.types() if x.name not in m.directives.dropped_types and not (isinstance(x, Struct) and self._dynamic(x))]
 
         def value(c: Column) -> Column:
             kind, body = c["type_id"], c["value"]
@@ -363,6 +363,9 @@ class Compiler:
         unknown = lambda c: one(F.coalesce(c["type_id"].contains("::") & ~c["type_id"].isin(*known), F.lit(False)))
         return guarded(value, (Site(path, "any of unknown type", FAIL, unknown),))
 
+    def _dynamic(self, s: Struct) -> bool:
+        return any(t.kind == "any" for _, _, t, _ in walk_types(Type("ref", name=s.name), self.migration.source))
+
     def _variant(self, t: Type, path: str, context: Context) -> Node:
         m = self.migration
         arms = []
