@@ -219,9 +219,9 @@ def report(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radi
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    found = contamination(docs, items, threshold, radius).select(F.col("rk1").alias("_rk1"), F.col("rk2").alias("_rk2"))
-    h1, h2 = hash128("doc_id", "text")
-    return docs.withColumns({"_rk1": h1, "_rk2": h2}).join(found, ["_rk1", "_rk2"], "left_anti").select(*docs.columns)
+    found = contamination(docs, items, threshold, radius).select("rk1", "rk2")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), *hash128("doc_id", "text"))
+    return packed.join(found, ["rk1", "rk2"], "left_anti").select("row.*")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -129,15 +129,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     plan = mix(docs, weights, max_epochs, seed)
     taken = plan.groupBy(F.col("h").alias("_h"), F.col("doc_id").alias("_id")).agg(
         F.max("copies").alias("_most"), F.min("copies").alias("_least"), F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
-    names = docs.columns
-    keyed = docs.withColumns({"_h": order_hash(seed), "_id": F.col("doc_id").cast("long")})
-    out = keyed.alias("d").join(taken.where("_sum > 0").alias("t"), F.expr("d._h = t._h and d._id <=> t._id"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), order_hash(seed).alias("_h"), F.col("doc_id").cast("long").alias("_id"))
+    out = packed.alias("d").join(taken.where("_sum > 0").alias("t"), F.expr("d._h = t._h and d._id <=> t._id")).drop(F.col("d._id"), F.col("d._h"))
     # Of _n equal rows, _sum copies in all: the first ones give one more than the others.
-    number = F.row_number().over(Window.partitionBy("t._h", "t._id").orderBy(F.lit(0)))
-    equal = out.where("_most = _least").select(*[F.col(f"d.`{c}`") for c in names], F.col("_most").alias("_k"))
+    number = F.row_number().over(Window.partitionBy("_h", "_id").orderBy(F.lit(0)))
+    equal = out.where("_most = _least").select("row", F.col("_most").alias("n"))
     edge = out.where("_most <> _least").withColumn("_i", number).select(
-        *[F.col(f"d.`{c}`") for c in names], (F.col("_least") + (F.col("_i") <= F.col("_sum") - F.col("_least") * F.col("_n")).cast("int")).alias("_k"))
-    return equal.unionByName(edge).where("_k > 0").withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.col("_k").cast("int")))).select(*names)
+        "row", (F.col("_least") + (F.col("_i") <= F.col("_sum") - F.col("_least") * F.col("_n")).cast("int")).alias("n"))
+    return equal.unionByName(edge).where("n > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:

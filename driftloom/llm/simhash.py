@@ -189,9 +189,8 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = near_duplicates(docs, radius)
     keep = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "rk1", "rk2")).alias("k"))
     keep = keep.select(F.col("k.rk1").alias("_rk1"), F.col("k.rk2").alias("_rk2"))
-    names, (h1, h2) = docs.columns, hash128("doc_id", "text")
-    keyed = docs.withColumns({"_rk1": h1, "_rk2": h2}).join(keep, ["_rk1", "_rk2"], "left_semi")
-    return keyed.dropDuplicates(["_rk1", "_rk2"]).select(*names)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), *(h.alias(n) for h, n in zip(hash128("doc_id", "text"), ("_rk1", "_rk2"), strict=True)))
+    return packed.join(keep, ["_rk1", "_rk2"], "left_semi").dropDuplicates(["_rk1", "_rk2"]).select("row.*")
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
