@@ -16,7 +16,6 @@ task that runs twice does no harm, and a shard that is complete is not written a
 
 from __future__ import annotations
 
-import hashlib
 import json
 import struct
 import uuid
@@ -24,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import discard, materialise, new_path
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LENGTH = 256
 SHARD_SIZE = 1 << 14
 KEY = 0x243F6A8885A308D3
@@ -38,6 +38,8 @@ ROUNDS = 6
 HEADER, HEADER_SIZE = "<8sIIIIqqqQ8x", struct.calcsize("<8sIIIIqqqQ8x")
 MAGIC, VERSION = b"DLTOKENS", 1
 NO_ID = -(1 << 63)
+#: Sequences of a task that are packed by shard at once.
+PACKED = 1 << 17
 #: Words whose ids a worker remembers.
 MEMO = 400_000
 
@@ -141,11 +143,56 @@ def permute(index: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _slots(total: int, key: int):
+def _record(length: int) -> np.dtype:
+    return np.dtype([("doc_id", "<i8"), ("seq", "<u4"), ("n", "<u4"), ("ids", "<u2", (length,))])
+
+
+def pack(slots: np.ndarray, ids: np.ndarray, seqs: np.ndarray, tokens: list[bytes]) -> bytes:
+    """Sequences as one compressed block: counts, columns, then all token ids one after the other."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 2
+    raw = b"".join((struct.pack("<q", len(slots)), slots.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), seqs.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), *tokens))
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def unpack(block: bytes, length: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, records) of a block, the records padded with ``end``."""
+    raw = pa.Codec("zstd").decompress(block[8:], decompressed_size=struct.unpack_from("<q", block)[0], asbytes=True)
+    (n,), at = struct.unpack_from("<q", raw), 8
+    slots = np.frombuffer(raw, "<i8", n, at)
+    out = np.empty(n, _record(length))
+    out["doc_id"] = np.frombuffer(raw, "<i8", n, at + 8 * n)
+    out["seq"] = np.frombuffer(raw, "<u4", n, at + 16 * n)
+    out["n"] = np.frombuffer(raw, "<u4", n, at + 20 * n)
+    ids = np.full((n, length), end, "<u2")
+    ids[np.arange(length) < out["n"][:, None]] = np.frombuffer(raw, "<u2", -1, at + 24 * n)
+    out["ids"] = ids
+    return slots, out
+
+
+def _blocks(total: int, size: int, key: int):
+    """Gives sequences their slots and packs those of a task that go to the same shard."""
+    def flush(held: list) -> pa.RecordBatch:
+        slot, ids, seqs = (np.concatenate([h[k] for h in held]) for k in range(3))
+        tokens = [t for h in held for t in h[3]]
+        order = np.argsort(slot, kind="stable")
+        shards = slot[order] // size
+        cuts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True])))
+        parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([
+            pa.array(shards[cuts[:-1]].astype(np.int32)), pa.array([pack(slot[o], ids[o], seqs[o], [tokens[i] for i in o]) for o in parts], pa.binary())], names=["shard", "block"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             slot = permute(b.column(0).to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), *b.columns[1:]], names=["slot", *b.schema.names[1:]])
+            ids = b.column(1).fill_null(NO_ID).to_numpy()
+            held.append((slot, ids, b.column(2).to_numpy(), b.column(3).to_pylist()))
+            n += b.num_rows
+            if n >= PACKED:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
 
     return run
 
@@ -161,50 +208,49 @@ def _filesystem(uri: str):
 
 
 def _writer(folder: str, total: int, length: int, size: int, key: int, end: int):
-    stride = 16 + 2 * length
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _filesystem(folder)
-        shard, records, rows = None, [], []
+        shard, held = None, []
 
         def close() -> pa.RecordBatch:
+            slots, records = (np.concatenate(x) for x in zip(*held, strict=True))
             first, count = shard * size, min(size, total - shard * size)
-            if [r[0] for r in rows] != list(range(first, first + count)):
+            order = np.argsort(slots, kind="stable")
+            if not np.array_equal(slots[order], np.arange(first, first + count)):
                 raise RuntimeError(f"shard {shard} has not all of its slots")
-            data = struct.pack(HEADER, MAGIC, VERSION, length, stride, 0, first, count, total, key % (1 << 64)) + b"".join(records)
+            records, stride = records[order], records.itemsize
+            data = struct.pack(HEADER, MAGIC, VERSION, length, stride, 0, first, count, total, key % (1 << 64)) + records.tobytes()
             name = f"{base}/{shard_name(shard)}"
             if filesystem.get_file_info(name).size != len(data):
                 part = f"{base}/.{shard_name(shard)}.{uuid.uuid4().hex}"
                 with filesystem.open_output_stream(part) as f:
                     f.write(data)
                 filesystem.move(part, name)
-            cols = list(zip(*rows, strict=True))
+            at = HEADER_SIZE + np.arange(count) * stride
             return pa.RecordBatch.from_arrays([
-                pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[0], pa.int64()),
-                pa.array(np.full(count, shard)), pa.array(HEADER_SIZE + np.arange(count) * stride), pa.array([hashlib.sha256(r).hexdigest() for r in records])], names=_OUT)
+                pa.array(records["doc_id"], mask=records["doc_id"] == NO_ID), pa.array(records["seq"].astype(np.int32)), pa.array(records["n"].astype(np.int32)), pa.array(slots[order]),
+                pa.array(np.full(count, shard, np.int64)), pa.array(at), pa.array([xxhash.xxh64_hexdigest(data[i : i + stride]) for i in at.tolist()])], names=_OUT)
 
         for b in batches:
-            for slot, doc_id, seq, tokens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if slot // size != shard:
-                    if rows:
+            for k, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != shard:
+                    if held:
                         yield close()
-                    shard, records, rows = slot // size, [], []
-                n = len(tokens) // 2
-                records.append(struct.pack("<qII", NO_ID if doc_id is None else doc_id, seq, n) + tokens + struct.pack("<H", end) * (length - n))
-                rows.append((slot, doc_id, seq, n))
-        if rows:
+                    shard, held = k, []
+                held.append(unpack(block.as_py(), length, end))
+        if held:
             yield close()
 
     return run
 
 
-_OUT = ["doc_id", "seq", "n_tokens", "slot", "shard", "byte_offset", "record_sha256"]
+_OUT = ["doc_id", "seq", "n_tokens", "slot", "shard", "byte_offset", "record_xxh64"]
 
 
 def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_size: int = SHARD_SIZE, key: int = KEY) -> tuple[DataFrame, str]:
     """Writes the shards of ``docs`` (doc_id, text, ...) and a manifest.json to ``folder`` (by default
     a new one in the shared folder); gives (doc_id, seq, n_tokens, slot, shard, byte_offset,
-    record_sha256), a row for each sequence, and the folder.
+    record_xxh64), a row for each sequence, and the folder.
 
     Null and empty texts give one sequence, with the end-of-text token only; null doc_ids stand as
     -2**63 in the records; repeated rows are written each; other columns are ignored. An empty table
@@ -221,11 +267,11 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str = V
     parts = materialise(parts.select("part", "n", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "token-parts")
     total = parts.agg(F.sum("n")).first()[0] or 0
     numbered = staged.join(parts, "part").select((F.col("base") + F.col("at")).alias("index"), "doc_id", "seq", "tokens")
-    slots = numbered.mapInArrow(_slots(total, key), "slot long, doc_id long, seq int, tokens binary")
+    blocks = numbered.mapInArrow(_blocks(total, shard_size, key), "shard int, block binary")
     shards = max(1, -(-total // shard_size))
     end = encoder_for(vocabulary).end
-    dealt = slots.repartitionById(shards, F.expr(f"cast(slot div {shard_size} as int)")).sortWithinPartitions("slot")
-    out = materialise(dealt.mapInArrow(_writer(folder, total, length, shard_size, key, end), "doc_id long, seq int, n_tokens int, slot long, shard long, byte_offset long, record_sha256 string"), "token-records")
+    dealt = blocks.repartitionById(shards, "shard").sortWithinPartitions("shard")
+    out = materialise(dealt.mapInArrow(_writer(folder, total, length, shard_size, key, end), "doc_id long, seq int, n_tokens int, slot long, shard long, byte_offset long, record_xxh64 string"), "token-records")
     discard(staged)
     _write_text(spark, f"{folder}/manifest.json", json.dumps({"sequences": total, "length": length, "stride": 16 + 2 * length, "header": HEADER_SIZE, "shard_size": shard_size, "shards": -(-total // shard_size), "key": key, "vocabulary": vocabulary, "end_of_text": end}))
     return out, folder

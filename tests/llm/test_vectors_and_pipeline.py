@@ -122,7 +122,7 @@ def test_pipeline(spark, tmp_path):
     assert abs(mixed - sizes["all"]) < 4 * 130
     out = seen["token_output"]
     assert {r.doc_id for r in out.collect()} == set(ids["source_mixing"])
-    key = lambda df: Counter((r.doc_id, r.seq, r.n_tokens, r.record_sha256) for r in df.collect())
+    key = lambda df: Counter((r.doc_id, r.seq, r.n_tokens, r.record_xxh64) for r in df.collect())
     assert key(corpus_pipeline.run(spark, d)) == key(out)
 
 
