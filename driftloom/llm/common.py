@@ -53,6 +53,11 @@ def discard(df: DataFrame) -> None:
     remove(df.sparkSession, df._driftloom_path)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes all intermediate tables; for when no result of this subpackage is read any more."""
+    remove(spark, shared_dir(spark))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -100,9 +100,10 @@ def _forest(fps: np.ndarray, p: int, radius: int) -> tuple[np.ndarray, np.ndarra
     """Edges of a spanning forest of the links between these fingerprints first met under p."""
     label, a, b = np.arange(len(fps)), [], []
     for i in range(len(fps) - 1):
-        diff = fps[i + 1 :] ^ fps[i]
-        near = np.nonzero(np.bitwise_count(diff) <= radius)[0]
-        near = near[first_variant(diff[near]) == p] + i + 1
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])  # the connected ones are done
+        diff = fps[rest] ^ fps[i]
+        near = np.flatnonzero(np.bitwise_count(diff) <= radius)
+        near = rest[near[first_variant(diff[near]) == p]]
         groups, at = np.unique(label[near], return_index=True)
         fresh = groups != label[i]
         if fresh.any():
