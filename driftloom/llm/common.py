@@ -28,20 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="driftloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder + "/driftloom"
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="driftloom-"))
+    return shared_dir(spark)
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, tag: str, partition_by: tuple[str, ...] = (), level: int = 3) -> DataFrame:
     """Writes a table to the shared folder and reads it back: computed once, never again,
-    whatever executors are lost."""
+    whatever executors are lost. ``level`` is that of the compression."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._driftloom_path = path
