@@ -142,7 +142,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, v: int = VOCABULARY) ->
     good = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     vocab = vocabulary(docs, v)
     background = losses(trigrams(docs, vocab, v), v)
-    target = losses(trigrams(docs.join(good, "doc_id", "left_semi"), vocab, v), v)
+    target = losses(trigrams(docs.join(good.hint("merge"), "doc_id", "left_semi"), vocab, v), v)
     return docs.mapInArrow(_scorer(vocab, target, background, v), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
