@@ -36,11 +36,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, partition_by: tuple[str, ...] = (), level: int = 3) -> DataFrame:
+def materialise(df: DataFrame, tag: str, partition_by: tuple[str, ...] = (), level: int = 3, page: int = 1 << 20) -> DataFrame:
     """Writes a table to the shared folder and reads it back: computed once, never again,
-    whatever executors are lost. ``level`` is that of the compression."""
+    whatever executors are lost. ``level`` is that of the compression, ``page`` the bytes it sees at
+    once."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    out = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
+    out = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page)
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._driftloom_path = path

@@ -32,7 +32,7 @@ from driftloom.llm.common import discard, materialise, new_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LENGTH = 256
-SHARD_SIZE = 1 << 14
+SHARD_SIZE = 1 << 16
 KEY = 0x243F6A8885A308D3
 ROUNDS = 6
 HEADER, HEADER_SIZE = "<8sIIIIqqqQ8x", struct.calcsize("<8sIIIIqqqQ8x")
@@ -151,7 +151,7 @@ def pack(slots: np.ndarray, ids: np.ndarray, seqs: np.ndarray, tokens: list[byte
     """Sequences as one compressed block: counts, columns, then all token ids one after the other."""
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 2
     raw = b"".join((struct.pack("<q", len(slots)), slots.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), seqs.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), *tokens))
-    return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def unpack(block: bytes, length: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +261,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str = V
     _mkdirs(spark, folder)
     staged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _sequences(vocabulary, length), "part int, at long, doc_id long, seq int, tokens binary")
-    staged = materialise(staged, "token-sequences")
+    staged = materialise(staged, "token-sequences", level=6, page=8 << 20)  # the largest table there is beside the shards
     # Dense numbers: a base for each task that staged sequences, then the position within it.
     parts = staged.groupBy("part").agg(F.count("*").alias("n"))
     parts = materialise(parts.select("part", "n", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "token-parts")
