@@ -126,6 +126,35 @@ def test_pipeline(spark, tmp_path):
     assert key(corpus_pipeline.run(spark, d)) == key(out)
 
 
+def test_pipeline_near_copies(spark):
+    """The near-duplicate stage links just the pairs of 0.8 or more on five words, in large groups too."""
+    r, rows = random.Random(12), []
+    group = ["b%d" % k for k in range(150)]
+    for i in range(60):
+        body = [f"w{r.randrange(5000)}" for _ in range(r.randrange(80, 500))]
+        rows.append(body)
+        for _ in range(2):
+            copy = list(body)
+            for _ in range(r.randrange(1, len(body) // 50 + 1)):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(5000)}"
+            rows.append(copy)
+    for k in range(40):
+        rows.append([*group[:60], f"y{k}", *group[61:]])
+        rows.append([*group[:60], *(f"z{k}{j}" for j in range(40)), *group[60:]])  # less than 0.8
+    shingles = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in rows]
+    root = list(range(len(rows)))
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                a, b = sorted((root[i], root[j]))
+                root, linked = [a if x == b else x for x in root], linked + 1
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)] + [(900, None), (901, ""), (902, "one two"), (903, "ONE  two"), (None, "one two")], "doc_id long, text string")
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({*root, 900, 902}) and linked > 300
+    assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_registered():
     names = list(driver.queries())
     assert [n for n in names if re.match(r"op\d+_", n)] == list(entry.QUERIES) and "pipeline" in names
