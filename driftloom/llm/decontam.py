@@ -1,10 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
 
 Texts are lower-cased (A-Z), ASCII punctuation is removed and words are split at white space.
-An item of n words is looked for in windows of n words. A window can only be similar to an item if
-they share five-word shingles, so windows are laid where a document's shingle equals one of an
-item's, aligned to it; a document without such a shingle has no similar window. Each window's
-64-bit SimHash (shingles weighted by how often they occur) is looked up in a multi-index: eight
+An item of n words is looked for in all windows of n words. A window of b shingles that has similarity
+t with an item of a shingles shares at least t / (1 + t) * (a + b) of them, so windows are laid at
+every start from which they hold that many of the item's shingles, in whatever order; any other
+window has less. Each window's 64-bit SimHash (shingles weighted by how often they occur) is looked up in a multi-index: eight
 blocks of eight bits, and by the pigeonhole principle an item within ``RADIUS`` = 23 bits differs in
 at most two bits in some block, so probing every block with up to two bits changed finds all items
 within the radius. Each candidate is verified by the exact weighted Jaccard similarity of the
@@ -19,6 +19,7 @@ documents.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ BLOCK_BYTES = 16 << 20
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _FILTER_BITS = 22
+#: Window starts that are compared at once.
+CHUNK = 1 << 12
 #: Bytes to change in a block: up to two bits of eight.
 _CHANGES = [0] + [1 << i for i in range(8)] + [1 << i | 1 << j for i, j in combinations(range(8), 2)]
 
@@ -75,6 +78,14 @@ def simhash(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def simhashes(h: np.ndarray, n: int) -> list[int]:
+    """The SimHash of each run of n shingles, from running counts of the bits."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    total = np.zeros((len(h) + 1, 64), np.int64)
+    np.cumsum(bits, axis=0, out=total[1:])
+    return np.packbits((total[n:] - total[:-n]) * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two multisets of shingles."""
     x, y = Counter(a.tolist()), Counter(b.tolist())
@@ -112,7 +123,6 @@ class ItemIndex:
         order = np.argsort(all_grams, kind="stable")
         self.gram = all_grams[order]
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)[order]
-        self.offset = (np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64))[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.gram >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -129,18 +139,39 @@ class ItemIndex:
         near = np.unique(np.concatenate(found))
         return near[np.bitwise_count(self.prints[near] ^ np.uint64(fp)) <= self.radius]
 
-    def windows(self, words: list[bytes]) -> set[tuple[int, int]]:
-        """(start, size) of the windows that share a shingle with an item of that size, aligned to it."""
+    def windows(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+        """size -> ranges (first start, end) of the windows of that size that hold enough shingles of
+        an item to reach the threshold, wherever in the item they stand."""
         g = _grams(self._local(words))
         at = np.flatnonzero(self.filter[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        if not len(at):
-            return set()
         low, high = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
-        out = set()
-        for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-            for k in range(a, b):
-                size = min(self.sizes[self.item[k]], len(words))
-                out.add((min(max(p - int(self.offset[k]), 0), len(words) - size), size))
+        n = high - low
+        if not n.sum():
+            return {}
+        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # Each position counts once for an item, though the item may repeat the shingle.
+        item, place = np.divmod(np.unique(self.item[entry] * len(g) + np.repeat(at, n)), len(g))
+        found: dict[int, list[tuple[int, int]]] = {}
+        for hits in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+            k, p = item[hits[0]], place[hits]
+            size = min(self.sizes[k], len(words))
+            b = size - WORDS + 1
+            least = max(1, math.ceil(self.threshold / (1 + self.threshold) * (len(self.shingles[k]) + b) - 1e-9))
+            if least > len(p):
+                continue
+            first, last = p[least - 1 :], p[: len(p) - least + 1]
+            held = first - last < b
+            for s, e in zip(np.maximum(first[held] - b + 1, 0).tolist(), np.minimum(last[held], len(words) - size).tolist(), strict=True):
+                found.setdefault(size, []).append((s, e + 1))
+        out: dict[int, list[tuple[int, int]]] = {}
+        for size, ranges in found.items():
+            merged: list[tuple[int, int]] = []
+            for s, e in sorted(ranges):
+                if merged and s <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+                else:
+                    merged.append((s, e))
+            out[size] = merged
         return out
 
     def matches(self, text: str | None) -> dict[int, float]:
@@ -151,12 +182,19 @@ class ItemIndex:
         out: dict[int, float] = {}
         if not len(self.gram):
             return out
-        for start, size in self.windows(words):
-            h = shingles(words[start : start + size])
-            for k in self.within(simhash(h)):
-                s = similarity(h, self.shingles[k])
-                if s >= self.threshold:
-                    out[self.ids[k]] = max(s, out.get(self.ids[k], 0.0))
+        near: dict[int, np.ndarray] = {}
+        for size, ranges in self.windows(words).items():
+            n = size - WORDS + 1
+            for first, end in ranges:
+                for at in range(first, end, CHUNK):
+                    h = shingles(words[at : min(at + CHUNK, end) + size - 1])
+                    for i, fp in enumerate(simhashes(h, n)):
+                        if fp not in near:
+                            near[fp] = self.within(fp)
+                        for k in near[fp]:
+                            s = similarity(h[i : i + n], self.shingles[k])
+                            if s >= self.threshold:
+                                out[self.ids[k]] = max(s, out.get(self.ids[k], 0.0))
         return out
 
 

@@ -347,6 +347,26 @@ def test_decontamination(spark, messy, none):
     assert decontam.report(none, bench).count() == 0 and not any(x.contaminated for x in decontam.report(messy, bench.limit(0)).collect())
 
 
+def test_decontamination_finds_reordered_passages():
+    """The best window of an item with its halves swapped is aligned to no shingle."""
+    r = random.Random(11)
+    vocab, items, texts = [f"w{i}" for i in range(3000)], [], []
+    for i in range(30):
+        body = [r.choice(vocab) for _ in range(r.choice([60, 100, 200]))]
+        items.append((i, " ".join(body)))
+        at = r.randrange(20, len(body) - 20) if i % 2 else len(body) // 2
+        filler = [r.choice(vocab) for _ in range(60)]
+        texts.append(" ".join(filler + body[at:] + body[:at] + filler))
+        texts.append(" ".join(filler + body[: at - 2] + ["more", "words"] + body[at:] + filler))
+    texts += ["the same words again " * 200, items[0][1] + " " + items[1][1]]
+    items += [(90, "the same words again the same words again the same words"), (91, items[0][1] + " " + items[0][1])]
+    index = decontam.ItemIndex(items)
+    want = [brute_contamination(t, items) for t in texts]
+    got = [index.matches(t) for t in texts]
+    assert [set(x) for x in got] == [set(x) for x in want] and sum(map(bool, want)) > 50
+    assert all(abs(g[k] - w[k]) < 1e-9 for g, w in zip(got, want, strict=True) for k in w)
+
+
 def test_multi_index_finds_all_within_radius():
     r = random.Random(4)
     index = decontam.ItemIndex([(i, " ".join(r.choice("abcdefgh") for _ in range(30))) for i in range(200)])
