@@ -1,136 +1,90 @@
 """Language-model scores: cross-entropy difference of matched n-gram models.
 
-The tokens are the code points of the texts. One vocabulary is shared: the most frequent code
-points of the whole corpus, a boundary and an unknown token. A target model is counted on the
-documents that ``labels`` marks as good (quality 1, toxic 0), a background model on all documents;
-both are trigram models of the same order, vocabulary and smoothing (Witten-Bell interpolation down
-to add-one unigrams), so their losses are comparable token by token. A document's score is the mean
-over its tokens of target loss minus background loss: the lower, the more it reads like the target.
-
-Tasks count into dense arrays and give their non-zero cells; counts are summed in a shuffle over
-all documents. A model has VOCABULARY**3 cells at most, which bounds what is collected and sent out,
-whatever the size of the corpus.
+The tokens are the code points of the texts, all of them: one vocabulary of every code point, a
+boundary and an unknown token is shared. A target model is counted on the documents that ``labels``
+marks as good (quality 1, toxic 0), a background model on all documents; both are trigram models of
+the same order, vocabulary and smoothing (Witten-Bell interpolation down to add-one unigrams), so
+their losses are comparable token by token. A document's score is the mean over its tokens of target
+loss minus background loss: the lower, the more it reads like the target.
+
+The models are distributed tables that grow with the n-grams of the corpus; nothing of them is
+collected or sent out but two totals. Documents are dealt by doc_id into chunks of about CHUNK code
+points. A chunk's distinct trigrams are counted, joined with the losses, and come back to its documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens including boundary (0) and unknown (1): 2**21 cells, 8 MB a model.
-VOCABULARY = 128
-BOUNDARY, UNKNOWN = 0, 1
-#: Code points that are counted or scored at once.
-CHUNK = 1 << 20
-
-
-def code_points(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-def chunks(texts: pa.Array) -> Iterator[list[np.ndarray]]:
-    """Code points of the texts, in lists of about CHUNK; a longer text stands alone."""
-    held, size = [], 0
-    for t in texts:
-        x = code_points(t.as_py())
-        if held and size + len(x) > CHUNK:
-            yield held
-            held, size = [], 0
-        held.append(x)
-        size += len(x)
-    if held:
-        yield held
-
-
-def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0x110000, np.int64)
-    for b in batches:
-        for held in chunks(b.column(0)):
-            n = np.bincount(np.concatenate(held))
-            total[: len(n)] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["c", "n"])
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[int]:
-    """The most frequent code points of all texts, ties to the smaller one."""
-    counts = docs.select("text").mapInArrow(_characters, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    return [r.c for r in counts.orderBy(F.desc("n"), "c").limit(size - 2).collect()]
-
+from driftloom.llm.common import materialise
 
-def tokens_table(vocab: list[int]) -> np.ndarray:
-    table = np.full(0x110000, UNKNOWN, np.uint8)
-    table[vocab] = np.arange(2, len(vocab) + 2)
-    return table
+#: Tokens: all code points, boundary and unknown.
+VOCABULARY = 0x110000 + 2
+BOUNDARY = 0x110000
+#: Bits of a token in a trigram.
+BITS = 21
+#: Code points of a chunk, about; a longer text stands alone.
+CHUNK = 1 << 21
 
 
-def cells(held: list[np.ndarray], table: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """The trigram cell of each token, two boundaries standing before each text; text sizes."""
+def trigrams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct trigrams, index into them of each token, text sizes); two boundaries stand before
+    each text."""
+    held = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4") for t in texts.to_pylist()]
     sizes = np.array([len(x) for x in held], np.int64)
-    starts = np.cumsum(sizes + 2) - sizes
     line = np.full(int((sizes + 2).sum()), BOUNDARY, np.int64)
-    own = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-    line[own] = table[np.concatenate(held)] if len(own) else 0
-    return (line[own - 2] * v + line[own - 1]) * v + line[own], sizes
-
-
-def _counter(vocab: list[int], v: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = tokens_table(vocab), np.zeros(v**3, np.int64)
-        for b in batches:
-            for held in chunks(b.column(0)):
-                total += np.bincount(cells(held, table, v)[0], minlength=v**3)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
-
-    return run
-
-
-def trigrams(docs: DataFrame, vocab: list[int], v: int = VOCABULARY) -> np.ndarray:
-    """Counts of all trigrams of the texts, an array of v**3."""
-    counts = docs.select("text").mapInArrow(_counter(vocab, v), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(v**3, np.int64)
-    for b in counts.toArrow().to_batches():  # v**3 rows at most
-        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
-    return out
-
-
-def losses(counts: np.ndarray, v: int = VOCABULARY) -> np.ndarray:
-    """-log p(c | a, b) of each cell: trigrams backed by bigrams, unigrams and add-one."""
-    n3 = counts.reshape(v, v, v).astype(np.float64)
-    n2 = n3.sum(axis=0)
-    n1 = n2.sum(axis=0)
-    p = (n1 + 1) / (n1.sum() + v)
-    for n in (n2, n3):
-        kinds = (n > 0).sum(axis=-1, keepdims=True)
-        held = n.sum(axis=-1, keepdims=True)
-        p = np.where(held > 0, (n + kinds * p) / np.maximum(held + kinds, 1), p)
-    return -np.log(p).astype(np.float32).reshape(-1)
-
-
-def _scorer(vocab: list[int], target: np.ndarray, background: np.ndarray, v: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokens_table(vocab)
-        for b in batches:
-            n, t, g = [], [], []
-            for held in chunks(b.column(1)):
-                at, sizes = cells(held, table, v)
-                ends = np.concatenate(([0], np.cumsum(sizes)))
-                n.append(sizes)
-                for loss, out in ((target, t), (background, g)):
-                    total = np.concatenate(([0.0], np.cumsum(loss[at], dtype=np.float64)))
-                    out.append((total[ends[1:]] - total[ends[:-1]]) / np.maximum(sizes, 1))
-            n, t, g = (np.concatenate(x) if x else np.zeros(0) for x in (n, t, g))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(t), pa.array(g), pa.array(t - g)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return run
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, v: int = VOCABULARY) -> DataFrame:
+    own = np.repeat(2 * np.arange(1, len(sizes) + 1), sizes) + np.arange(int(sizes.sum()))
+    line[own] = np.concatenate(held) if len(own) else 0
+    coded = pa.array(line[own - 2] << 2 * BITS | line[own - 1] << BITS | line[own], pa.int64()).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy(), sizes
+
+
+def _count(docs: pa.Table, good: pa.Table) -> pa.Table:
+    grams, at, sizes = trigrams(docs["text"])
+    held = set(good["doc_id"].to_pylist())
+    marked = np.repeat(np.array([i in held for i in docs["doc_id"].to_pylist()], bool), sizes)
+    n, g = np.bincount(at, minlength=len(grams)), np.bincount(at[marked], minlength=len(grams))
+    chunk = docs["chunk"][0].as_py() if docs.num_rows else 0
+    return pa.table({"chunk": pa.array(np.full(len(grams), chunk, np.int64)), "gram": pa.array(grams, pa.int64()), "n": pa.array(n, pa.int64()), "g": pa.array(g, pa.int64())})
+
+
+def _score(docs: pa.Table, known: pa.Table) -> pa.Table:
+    grams, at, sizes = trigrams(docs["text"])
+    keys = known["gram"].to_numpy()
+    order = np.argsort(keys)
+    place = order[np.searchsorted(keys, grams, sorter=order)] if len(grams) else np.zeros(0, np.int64)
+    ends, means = np.concatenate(([0], np.cumsum(sizes))), []
+    for name in ("target", "background"):
+        total = np.concatenate(([0.0], np.cumsum(known[name].to_numpy()[place][at])))
+        means.append((total[ends[1:]] - total[ends[:-1]]) / np.maximum(sizes, 1))
+    t, b = means
+    return pa.table({"doc_id": docs["doc_id"], "n_tokens": pa.array(sizes), "target_loss": pa.array(t), "background_loss": pa.array(b), "score": pa.array(t - b)})
+
+
+def losses(counts: DataFrame) -> DataFrame:
+    """(gram, target, background): -log p(c | a, b) of each trigram of ``counts`` (gram, n in the
+    background, g in the target); trigrams backed by bigrams, unigrams and add-one."""
+    col, kinds = F.col, lambda c: F.sum((F.col(c) > 0).cast("long"))
+    context = lambda df, key: df.groupBy(key).agg(F.sum("n").alias("hn"), F.sum("g").alias("hg"), kinds("n").alias("kn"), kinds("g").alias("kg"))
+
+    def backed(c: str):
+        return F.when(col(f"h{c}") > 0, (col(c) + col(f"k{c}") * col(f"p{c}")) / (col(f"h{c}") + col(f"k{c}"))).otherwise(col(f"p{c}"))
+
+    low = lambda c, bits: col(c).bitwiseAND(F.lit((1 << bits) - 1))
+    three = counts.select("gram", "n", "g", F.shiftright("gram", BITS).alias("ab"), low("gram", 2 * BITS).alias("bc"))
+    two = three.groupBy("bc").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).withColumns({"b": F.shiftright("bc", BITS), "c": low("bc", BITS)})
+    two = materialise(two, "lm-bigrams")
+    one = two.groupBy("c").agg(F.sum("n").alias("n1"), F.sum("g").alias("g1"))
+    total = two.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).first()
+    one = one.select("c", ((col("n1") + 1) / F.lit(float(total[0] + VOCABULARY))).alias("pn"), ((col("g1") + 1) / F.lit(float(total[1] + VOCABULARY))).alias("pg"))
+    two = two.join(one, "c").join(context(two, "b"), "b").select("bc", backed("n").alias("pn"), backed("g").alias("pg"))
+    return three.join(two, "bc").join(context(three, "ab"), "ab").select("gram", (-F.log(backed("g"))).alias("target"), (-F.log(backed("n"))).alias("background"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of ``docs`` (doc_id,
     text, ...); losses are means over the tokens, in nats.
 
@@ -139,11 +93,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, v: int = VOCABULARY) ->
     scored each; other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    good = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    vocab = vocabulary(docs, v)
-    background = losses(trigrams(docs, vocab, v), v)
-    target = losses(trigrams(docs.join(good.hint("merge"), "doc_id", "left_semi"), vocab, v), v)
-    return docs.mapInArrow(_scorer(vocab, target, background, v), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    good = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    chunks = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK))
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("long").alias("chunk")
+    docs = docs.select(dealt(F.coalesce("doc_id", F.xxhash64("text"))), "doc_id", "text")
+    good = good.select(dealt(F.col("doc_id")), "doc_id")
+    counts = docs.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(_count, "chunk long, gram long, n long, g long")
+    counts = materialise(counts, "lm-counts")
+    model = losses(materialise(counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("g").alias("g")), "lm-trigrams"))
+    known = counts.select("chunk", "gram").join(model, "gram").select("chunk", "gram", "target", "background")
+    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -237,6 +237,17 @@ def test_lm_scores(spark, messy, none):
     assert lm_score.score_documents(none, labels).count() == 0
 
 
+def test_lm_vocabulary_grows_with_the_corpus(spark):
+    """Documents in code points beyond the most frequent ones are scored by what they say."""
+    r = random.Random(8)
+    han = lambda at: "".join(chr(0x4E00 + at + r.randrange(200)) for _ in range(150))
+    texts = ["".join(chr(33 + r.randrange(300)) for _ in range(400)) for _ in range(40)] + [han(0) for _ in range(20)] + [han(1000) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40, 50)], "doc_id long, quality int, toxic int")
+    score = {x.doc_id: x.score for x in lm_score.score_documents(docs, labels).collect()}
+    assert max(score[i] for i in range(50, 60)) < min(score[i] for i in range(60, 80)) - 0.5
+
+
 # --- op5 ---
 
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
