@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from driftloom.catalog.catalog import Attachment, Catalog, Struct
+from driftloom.catalog.catalog import Catalog, Struct
 from driftloom.catalog.types import Type, optional
 from driftloom.functions.nodes import IDENTITY, Node, Refused, one
-from driftloom.migrate import VerificationError, referenced_blobs
+from driftloom.migrate import VerificationError, blob_ids
 from driftloom.operators.projection import Compiler, Context
 from driftloom.plans.build import Migration, gate_attachments
 
@@ -38,6 +38,8 @@ VERBS = {
     "Map_Union": lambda t: t, "Map_Update": lambda t: t, "Map_Subtract": lambda t: Type("set", t.args[:1]),
     "XArray_Insert": lambda t: t.args[0], "XArray_Update": lambda t: t.args[0], "XArray_Remove": lambda t: None,
 }
+#: The verbs whose values stay in the documents.
+ADDING = ("Document_Set", "Document_Update", "Set_Union", "Map_Union", "Map_Update", "XArray_Insert", "XArray_Update")
 
 
 @dataclass
@@ -248,19 +250,44 @@ def migrate_log(log: Log, m: Migration) -> Log:
     opcodes, _ = rewrite_opcodes(log, m)
     blobs = None
     if log.blobs is not None:
-        blobs = log.blobs.join(log_blobs(opcodes, m.target, log.commits.sparkSession), "blob_id", "left_semi")
+        blobs = log.blobs.join(log_blobs(opcodes, m.target, log.commits.sparkSession, _target_shapes(log, m)), "blob_id", "left_semi")
     return Log(_remapped(log.commits, m, log.commits), opcodes, m.target, blobs)
 
 
-def log_blobs(opcodes: DataFrame, catalog: Catalog, spark: SparkSession) -> DataFrame:
-    """Distinct blob ids in the values of documents that hold any."""
-    tables: list[tuple[Attachment, DataFrame]] = []
-    for a in catalog.attachments:
-        if _holds(Type("ref", name=a.document), catalog, "blob_id"):
-            typed = F.from_json("value", catalog.spark_type(Type("ref", name=a.document)))
-            rows = opcodes.where((F.col("attachment") == a.id) & (F.col("verb") == "Document_Set")).select(typed.alias("d")).select("d.*")
-            tables.append((a, rows))
-    return referenced_blobs(catalog, tables, spark)
+def _target_shapes(log: Log, m: Migration) -> list[tuple[Shape, str]]:
+    """The shapes of the target's opcodes, from those of the source: no opcode is rewritten for it."""
+    compiler, out = Compiler(m), {}
+    for shape, _ in shapes(log.opcodes.where(F.col("attachment").isin(*m.attachments))):
+        if r := translate(shape, m, compiler):
+            steps = tuple((kind, name) for (kind, _), name in zip(shape.steps, r.steps, strict=True))
+            out[Shape(shape.verb, m.attachments[shape.attachment], steps)] = "/".join("=".join(s) for s in steps)
+    return list(out.items())
+
+
+def addressed(shape: Shape, catalog: Catalog) -> Type:
+    """The type that the path of an opcode addresses."""
+    t = Type("ref", name=catalog.attachment(shape.attachment).document)
+    for kind, name in shape.steps:
+        if kind == "Field":
+            t = catalog.struct(t.name).field(name).type
+        elif t.kind != "any":
+            t = t.args[1] if kind == "Key" else t.args[0]
+    return t
+
+
+def log_blobs(opcodes: DataFrame, catalog: Catalog, spark: SparkSession, found: list[tuple[Shape, str]] | None = None) -> DataFrame:
+    """Distinct blob ids in the values that opcodes add; ``found`` are the shapes of the opcodes."""
+    live, out = opcodes.withColumn("_steps", steps_column()), spark.createDataFrame([], "blob_id string")
+    for shape, steps in shapes(opcodes) if found is None else found:
+        if shape.verb not in ADDING:
+            continue
+        t = VERBS[shape.verb](addressed(shape, catalog))
+        ids = blob_ids(t, catalog, F.col("_v"))
+        if ids is not None:
+            rows = live.where((F.col("verb") == shape.verb) & (F.col("attachment") == shape.attachment) & (F.col("_steps") == steps))
+            typed = _Boxed.read(F.col("value"), catalog.spark_type(t if t.kind == "optional" else optional(t)))
+            out = out.unionByName(rows.select(typed.alias("_v")).select(F.explode(ids).alias("blob_id")))
+    return out.where("blob_id is not null").distinct()
 
 
 def dry_run_log(log: Log, m: Migration) -> dict:

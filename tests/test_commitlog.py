@@ -123,3 +123,24 @@ def test_states_commute(spark):
         rows = {r.key: json.loads(r.value) for r in L.state_at(target, order2, ORDERS, upto).collect()}
         assert rows["1"]["qty"] == qty
         assert {r.key for r in L.state_at(source, order, ORDERS, upto).collect()} == set(rows)
+
+
+def test_blobs_of_every_adding_verb_are_kept(spark):
+    b = T.prim("blob_id")
+    fields = (Field("one", T.optional(b)), Field("all", T.set_of(b)), Field("by", T.map_of(T.STRING, b)), Field("list", T.xarray(b)))
+    c = Catalog((DEMO,), (Concept("Demo::Order"),), (), (), (Struct(ORDER, fields),), (Attachment("Demo", "Orders", "Demo::Order", ORDER),))
+    op = lambda i, verb, name, value, position=None: (ID["a"], i, verb, ORDERS, "1", field(name), value, position, None)
+    ops = [op(0, "Document_Update", "one", '"b0"'), op(1, "Set_Union", "all", '["b1","b2"]'), op(2, "Map_Union", "by", '{"x":"b3"}'), op(3, "Map_Update", "by", '{"x":"b4"}'),
+           op(4, "XArray_Insert", "list", '"b5"', "p"), op(5, "XArray_Insert", "list", None, "q"), op(6, "XArray_Update", "list", '"b6"', "q"), op(7, "XArray_Update", "list", '"b7"', "p"),
+           op(8, "Set_Subtract", "all", '["gone"]'), op(9, "Document_Update", "one", "null"),
+           (ID["a"], 10, "Document_Set", ORDERS, "2", [], json.dumps({"one": "b8", "all": ["b9"], "by": {}, "list": []}), None, None)]
+    commits = spark.createDataFrame([(ID["a"], "Mutations", "base", None, None)], L.COMMITS)
+    blobs = spark.createDataFrame([(f"b{i}",) for i in range(11)] + [("gone",)], "blob_id string")
+    source = L.Log(commits, spark.createDataFrame(ops, L.OPCODES), c, blobs)
+    m = build(c, Directives().rename_field(ORDER, "one", "first").rename_field(ORDER, "by", "named"))
+    out = L.migrate_log(source, m)
+    assert {r.blob_id for r in out.blobs.collect()} == {f"b{i}" for i in range(10)}
+    assert {r.blob_id for r in L.log_blobs(out.opcodes, m.target, spark).collect()} == {f"b{i}" for i in range(10)}
+    L.verify_log(source, m, out)
+    with pytest.raises(VerificationError):
+        L.verify_log(source, m, L.Log(out.commits, out.opcodes, m.target, out.blobs.where("blob_id <> 'b1'")))
