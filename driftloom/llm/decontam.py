@@ -224,12 +224,13 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """(rk1, rk2, item_ids, similarity) for the rows of ``docs`` (doc_id, text, ...) that hold an
     item of ``items`` (item_id, text, ...): the sorted item ids and the best similarity.
 
-    Null and empty texts match nothing, null item_ids are left out, items under five words match a
+    Null and empty texts match nothing, items without item_id count in the similarity but have no id
+    to list, items under five words match a
     text of just these words, repeated items and rows are no matter, other columns are ignored.
     rk1 and rk2 identify rows by doc_id and text.
     """
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     # A hash bucket may exceed the mean; half of the bound is left for that.
@@ -246,13 +247,14 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 def report(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(doc_id, n_items, item_ids, similarity, contaminated) for each row of ``docs``; rows that hold
-    no item have an empty list and similarity 0. An empty table gives no rows."""
+    no item have an empty list and similarity 0. A row that holds only items without item_id is
+    contaminated with an empty list. An empty table gives no rows."""
     found = contamination(docs, items, threshold, radius)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hash128("doc_id", "text"))
     ids = F.coalesce("item_ids", F.array().cast("array<long>"))
     return rows.join(found, ["rk1", "rk2"], "left").select(
         "doc_id", F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
-        F.coalesce("similarity", F.lit(0.0)).alias("similarity"), (F.size(ids) > 0).alias("contaminated"))
+        F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.col("similarity").isNotNull().alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:

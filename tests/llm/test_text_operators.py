@@ -358,6 +358,15 @@ def test_decontamination(spark, messy, none):
     assert decontam.report(none, bench).count() == 0 and not any(x.contaminated for x in decontam.report(messy, bench.limit(0)).collect())
 
 
+def test_items_without_id_are_looked_for(spark):
+    item, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "uv")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"only {other}"), (3, "nothing " * 20), (4, "two words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (7, other), (None, "two words")], "item_id long, text string")
+    assert [x.doc_id for x in decontam.clean(docs, bench).collect()] == [3]
+    got = {x.doc_id: (x.n_items, x.item_ids, x.contaminated) for x in decontam.report(docs, bench).collect()}
+    assert got == {1: (0, [], True), 2: (1, [7], True), 3: (0, [], False), 4: (0, [], True)}
+
+
 def test_decontamination_finds_reordered_passages():
     """The best window of an item with its halves swapped is aligned to no shingle."""
     r = random.Random(11)
