@@ -6,9 +6,15 @@ Intermediate results are written as Parquet below the folder that the session na
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +42,51 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_worker: dict[tuple, object] = {}
+
+
+def kept_in_worker(key: tuple, build: Callable[[], object]) -> object:
+    """An object that later tasks in this process can use again. A process keeps one only, so the
+    models and indexes of one stage do not weigh on the next."""
+    if key not in _worker:
+        if _worker:
+            _worker.clear()
+            give_back()
+        _worker[key] = build()
+    return _worker[key]
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind: the written table takes their place."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, tag: str, partition_by: tuple[str, ...] = (), level: int = 3, page: int = 1 << 20) -> DataFrame:
     """Writes a table to the shared folder and reads it back: computed once, never again,
     whatever executors are lost. ``level`` is that of the compression, ``page`` the bytes it sees at
     once."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     out = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page)
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    with shuffles_removed(spark):
+        (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._driftloom_path = path
     return back

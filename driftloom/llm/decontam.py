@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import hash128, materialise
+from driftloom.llm.common import hash128, kept_in_worker, materialise
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -198,15 +198,9 @@ class ItemIndex:
         return out
 
 
-_indexes: dict[str, ItemIndex] = {}
-
-
 def index_for(tag: str, items: list[tuple[int, str]], threshold: float, radius: int) -> ItemIndex:
     """The index of a block; a process keeps one."""
-    if tag not in _indexes:
-        _indexes.clear()
-        _indexes[tag] = ItemIndex(items, threshold, radius)
-    return _indexes[tag]
+    return kept_in_worker(("items", tag), lambda: ItemIndex(items, threshold, radius))
 
 
 def _finder(tag: str, items: list[tuple[int, str]], threshold: float, radius: int):

@@ -19,13 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.llm.common import kept_in_worker
+
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Code points of a chunk and of the overlap that is tried first.
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
 #: Words whose counts a worker remembers.
-MEMO = 600_000
+MEMO = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -110,17 +112,12 @@ class Counter:
         return None
 
 
-_counters: dict[tuple, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """One counter for each worker process and vocabulary."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return kept_in_worker(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:

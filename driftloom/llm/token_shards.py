@@ -1,17 +1,19 @@
 """Token-ID output in training order: permuted slots, fixed-stride binary shards.
 
 Each text is encoded and cut into sequences of ``length`` token ids, an end-of-text token closing
-the document. The sequences are staged once, numbered densely by task and position, and a keyed
-Feistel permutation with cycle-walking gives each number a global slot below the number of
+the document. The rows are ranged by a 128-bit hash of doc_id and text, and their sequences are
+numbered in that order: the numbers follow from the rows alone, however they are partitioned. A
+keyed Feistel permutation with cycle-walking gives each number a global slot below the number of
 sequences. Shard k holds the slots from k * shard_size on, every record of the same length, so the
 record of a slot is found by arithmetic and reading can stop and go on at any slot.
 
 Record (little endian): doc_id int64 (null: -2**63), sequence number uint32, tokens uint32, then
-``length`` token ids uint16, padded with the end-of-text id. Header of 64 bytes: magic, version,
-length, stride, first slot, records, total, key.
+``length`` token ids uint16, padded with the end-of-text id. Header of 80 bytes: magic, version,
+length, stride, 0, first slot, records, total, key, run, hash of the records. The run is a hash of all
+sequences and of the parameters: equal runs write equal bytes.
 
-A shard is written under a temporary name and moved into place, and always has the same bytes: a
-task that runs twice does no harm, and a shard that is complete is not written again.
+A shard is written under a temporary name and moved into place: a task that runs twice does no harm.
+A shard in place with the header that this run would write is not written again; any other is replaced.
 """
 
 from __future__ import annotations
@@ -23,33 +25,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import discard, materialise, new_path
+from driftloom.llm.common import discard, hash128, kept_in_worker, materialise, new_path, remove
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LENGTH = 256
 SHARD_SIZE = 1 << 16
 KEY = 0x243F6A8885A308D3
 ROUNDS = 6
-HEADER, HEADER_SIZE = "<8sIIIIqqqQ8x", struct.calcsize("<8sIIIIqqqQ8x")
-MAGIC, VERSION = b"DLTOKENS", 1
+HEADER, HEADER_SIZE = "<8sIIIIqqqQQQ8x", struct.calcsize("<8sIIIIqqqQQQ8x")
+MAGIC, VERSION = b"DLTOKENS", 2
 NO_ID = -(1 << 63)
-#: Sequences of a task that are packed by shard at once.
-PACKED = 1 << 17
-#: Words whose ids a worker remembers.
-MEMO = 400_000
+#: Bytes of token ids of a task that are packed by shard at once.
+PACKED = 1 << 25
+#: Bytes of text that are encoded at once, and words whose ids a worker remembers.
+SLICE, MEMO = 1 << 22, 200_000
+#: White space that is not a single space or line feed between words.
+_UNEVEN = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 
 
 class Encoder:
-    """Ids of a text under a byte-level BPE vocabulary of ranks, as uint16 bytes.
+    """Ids of texts under a byte-level BPE vocabulary of ranks.
 
     Where all white space is single spaces and line feeds between words, the pattern splits before
-    each space and around each line feed, so words with the space before them are encoded apart and
-    remembered. Other texts are encoded whole.
+    each space and around each line feed, so the distinct words (with the space before them) of a
+    batch are encoded once. Other texts are encoded whole.
     """
 
     def __init__(self, name: str = VOCABULARY, memo: int = MEMO):
@@ -70,61 +75,79 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
-            return self._ids(text)
-        memo, out = self.memo, []
-        if len(memo) > self.limit:
-            memo.clear()
+    def _word(self, word: str) -> bytes:
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = self._ids(word)
+            if len(self.memo) >= self.limit:
+                self.memo.clear()
+            if len(word) <= 32:
+                self.memo[word] = ids
+        return ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text) of a few texts; null is empty."""
+        texts = pc.fill_null(texts, "")
+        even = pc.invert(pc.match_substring_regex(texts, _UNEVEN))
         # A mark before each space and around each line feed, where the pattern always splits.
-        for w in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"):
-            ids = memo.get(w)
-            if ids is None:
-                ids = memo[w] = self._ids(w)
-            out.append(ids)
-        return b"".join(out)
-
-
-_encoders: dict[str, Encoder] = {}
+        marked = pc.replace_substring(pc.replace_substring(pc.if_else(even, texts, ""), " ", "\0 "), "\n", "\0\n\0")
+        words = pc.split_pattern(marked, "\0")
+        coded, ends = words.flatten().dictionary_encode(), words.offsets.to_numpy()
+        known = [self._word(w) for w in coded.dictionary.to_pylist()]
+        counts = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        ids, at = np.frombuffer(b"".join(known), "<u2"), np.cumsum(counts) - counts
+        place = coded.indices.to_numpy()
+        n = counts[place]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        out = ids[np.repeat(at[place] - upto[:-1], n) + np.arange(upto[-1])]
+        upto = upto[ends]
+        sizes = np.diff(upto)
+        if pc.all(even).as_py() is False:
+            parts, last = [], 0
+            for i in np.flatnonzero(~even.to_numpy(zero_copy_only=False)).tolist():
+                own = np.frombuffer(self._ids(texts[i].as_py()), "<u2")
+                parts += [out[last : upto[i]], own]
+                last, sizes[i] = upto[i], len(own)
+            out = np.concatenate([*parts, out[last:]])
+        return out, sizes
 
 
 def encoder_for(vocabulary: str) -> Encoder:
     """One encoder for each process and vocabulary."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    return kept_in_worker(("encoder", vocabulary), lambda: Encoder(vocabulary))
+
+
+def slices(b: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of a text column, or of one longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < b.num_rows:
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + size, "right")))
+        yield b.slice(start, end - start)
+        start = end
 
 
 def _sequences(vocabulary: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(vocabulary)
-        end, part, at = np.array([encoder.end], "<u2").tobytes(), TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids, numbers, tokens = [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = encoder.encode(text.as_py()) + end
-                for k, start in enumerate(range(0, len(data), 2 * length)):
-                    ids.append(doc_id)
-                    numbers.append(k)
-                    tokens.append(data[start : start + 2 * length])
-                if len(ids) >= 8192:
-                    yield _staged(part, at, ids, numbers, tokens)
-                    at += len(ids)
-                    ids, numbers, tokens = [], [], []
-            if ids:
-                yield _staged(part, at, ids, numbers, tokens)
-                at += len(ids)
+        encoder, part, at = encoder_for(vocabulary), TaskContext.get().partitionId(), 0
+        for b in (s for batch in batches for s in slices(batch, 1)):
+            ids, sizes = encoder.encode(b.column(1))
+            sizes, of = sizes + 1, np.repeat(np.arange(b.num_rows), sizes)
+            flat = np.full(len(ids) + b.num_rows, encoder.end, "<u2")  # an end-of-text token closes each text
+            flat[np.arange(len(ids)) + of] = ids
+            counts = -(-sizes // length)
+            n, first = int(counts.sum()), np.cumsum(counts) - counts
+            seq = np.arange(n) - np.repeat(first, counts)
+            starts = np.append(np.repeat(np.cumsum(sizes) - sizes, counts) + seq * length, len(flat))
+            tokens = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * starts).astype("<i4")), pa.py_buffer(flat)])
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), counts)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), ids, pa.array(seq.astype(np.int32)), tokens], names=["part", "at", "doc_id", "seq", "tokens"])
+            at += n
 
     return run
 
 
-def _staged(part: int, at: int, ids: list, numbers: list, tokens: list) -> pa.RecordBatch:
-    n = len(ids)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(tokens, pa.binary())], names=["part", "at", "doc_id", "seq", "tokens"])
-
-
 def permute(index: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     """The slots of these numbers below ``total``: a bijection of range(total)."""
     half = max(1, ((max(total - 1, 1)).bit_length() + 1) // 2)
@@ -147,10 +170,9 @@ def _record(length: int) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("seq", "<u4"), ("n", "<u4"), ("ids", "<u2", (length,))])
 
 
-def pack(slots: np.ndarray, ids: np.ndarray, seqs: np.ndarray, tokens: list[bytes]) -> bytes:
+def pack(slots: np.ndarray, ids: np.ndarray, seqs: np.ndarray, sizes: np.ndarray, tokens: memoryview) -> bytes:
     """Sequences as one compressed block: counts, columns, then all token ids one after the other."""
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 2
-    raw = b"".join((struct.pack("<q", len(slots)), slots.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), seqs.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), *tokens))
+    raw = b"".join((struct.pack("<q", len(slots)), slots.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), seqs.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), tokens))
     return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
@@ -171,27 +193,28 @@ def unpack(block: bytes, length: int, end: int) -> tuple[np.ndarray, np.ndarray]
 
 def _blocks(total: int, size: int, key: int):
     """Gives sequences their slots and packs those of a task that go to the same shard."""
-    def flush(held: list) -> pa.RecordBatch:
-        slot, ids, seqs = (np.concatenate([h[k] for h in held]) for k in range(3))
-        tokens = [t for h in held for t in h[3]]
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        slot = permute(t.column(0).to_numpy(), total, key)
         order = np.argsort(slot, kind="stable")
-        shards = slot[order] // size
-        cuts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True])))
-        parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([
-            pa.array(shards[cuts[:-1]].astype(np.int32)), pa.array([pack(slot[o], ids[o], seqs[o], [tokens[i] for i in o]) for o in parts], pa.binary())], names=["shard", "block"])
+        t, slot = t.take(pa.array(order)).combine_chunks(), slot[order]
+        ids, seqs, tokens = t.column(1).fill_null(NO_ID).to_numpy(), t.column(2).to_numpy(), t.column(3).chunk(0)
+        ends, data = np.frombuffer(tokens.buffers()[1], "<i4", len(tokens) + 1, 4 * tokens.offset), memoryview(tokens.buffers()[2])
+        sizes, shards = np.diff(ends) // 2, slot // size
+        cuts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True]))).tolist()
+        blocks = [pack(slot[a:b], ids[a:b], seqs[a:b], sizes[a:b], data[ends[a] : ends[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(shards[cuts[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            slot = permute(b.column(0).to_numpy(), total, key)
-            ids = b.column(1).fill_null(NO_ID).to_numpy()
-            held.append((slot, ids, b.column(2).to_numpy(), b.column(3).to_pylist()))
-            n += b.num_rows
+            if b.num_rows:
+                held.append(b)
+                n += b.column(3).nbytes
             if n >= PACKED:
                 yield flush(held)
                 held, n = [], 0
-        if n:
+        if held:
             yield flush(held)
 
     return run
@@ -207,43 +230,53 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def _writer(folder: str, total: int, length: int, size: int, key: int, end: int):
+def _writer(folder: str, total: int, length: int, size: int, key: int, end: int, run_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _filesystem(folder)
-        shard, held = None, []
+        shard, records, seen = None, None, 0
 
         def close() -> pa.RecordBatch:
-            slots, records = (np.concatenate(x) for x in zip(*held, strict=True))
-            first, count = shard * size, min(size, total - shard * size)
-            order = np.argsort(slots, kind="stable")
-            if not np.array_equal(slots[order], np.arange(first, first + count)):
+            first, count, stride = shard * size, len(records), records.itemsize
+            if seen != count or not have.all():
                 raise RuntimeError(f"shard {shard} has not all of its slots")
-            records, stride = records[order], records.itemsize
-            data = struct.pack(HEADER, MAGIC, VERSION, length, stride, 0, first, count, total, key % (1 << 64)) + records.tobytes()
+            data = memoryview(records).cast("B")
+            header = struct.pack(HEADER, MAGIC, VERSION, length, stride, 0, first, count, total, key % (1 << 64), run_id, xxhash.xxh64_intdigest(data))
             name = f"{base}/{shard_name(shard)}"
-            if filesystem.get_file_info(name).size != len(data):
+            info = filesystem.get_file_info(name)
+            if info.size != HEADER_SIZE + len(data) or _header(filesystem, name) != header:
                 part = f"{base}/.{shard_name(shard)}.{uuid.uuid4().hex}"
                 with filesystem.open_output_stream(part) as f:
+                    f.write(header)
                     f.write(data)
                 filesystem.move(part, name)
-            at = HEADER_SIZE + np.arange(count) * stride
+            at = np.arange(count) * stride
             return pa.RecordBatch.from_arrays([
-                pa.array(records["doc_id"], mask=records["doc_id"] == NO_ID), pa.array(records["seq"].astype(np.int32)), pa.array(records["n"].astype(np.int32)), pa.array(slots[order]),
-                pa.array(np.full(count, shard, np.int64)), pa.array(at), pa.array([xxhash.xxh64_hexdigest(data[i : i + stride]) for i in at.tolist()])], names=_OUT)
+                pa.array(records["doc_id"], mask=records["doc_id"] == NO_ID), pa.array(records["seq"].astype(np.int32)), pa.array(records["n"].astype(np.int32)), pa.array(first + np.arange(count)),
+                pa.array(np.full(count, shard, np.int64)), pa.array(HEADER_SIZE + at), pa.array([xxhash.xxh64_hexdigest(data[i : i + stride]) for i in at.tolist()])], names=_OUT)
 
         for b in batches:
             for k, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if k != shard:
-                    if held:
+                    if shard is not None:
                         yield close()
-                    shard, held = k, []
-                held.append(unpack(block.as_py(), length, end))
-        if held:
+                    shard, seen = k, 0
+                    records = np.zeros(min(size, total - k * size), _record(length))
+                    have = np.zeros(len(records), bool)
+                slots, part = unpack(block.as_py(), length, end)
+                records[slots - k * size] = part
+                have[slots - k * size] = True
+                seen += len(slots)
+        if shard is not None:
             yield close()
 
     return run
 
 
+def _header(filesystem, name: str) -> bytes:
+    with filesystem.open_input_file(name) as f:
+        return f.read(HEADER_SIZE)
+
+
 _OUT = ["doc_id", "seq", "n_tokens", "slot", "shard", "byte_offset", "record_xxh64"]
 
 
@@ -259,24 +292,52 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str = V
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-shards")
     _mkdirs(spark, folder)
-    staged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sequences(vocabulary, length), "part int, at long, doc_id long, seq int, tokens binary")
+    # Equal rows are interchangeable; the salt lets a range end between them.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *hash128("doc_id", "text"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    ranged = rows.repartitionByRange("rk1", "rk2", "salt").sortWithinPartitions("rk1", "rk2").select("doc_id", "text")
+    staged = ranged.mapInArrow(_sequences(vocabulary, length), "part int, at long, doc_id long, seq int, tokens binary")
     staged = materialise(staged, "token-sequences", level=6, page=8 << 20)  # the largest table there is beside the shards
     # Dense numbers: a base for each task that staged sequences, then the position within it.
-    parts = staged.groupBy("part").agg(F.count("*").alias("n"))
-    parts = materialise(parts.select("part", "n", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "token-parts")
-    total = parts.agg(F.sum("n")).first()[0] or 0
-    numbered = staged.join(parts, "part").select((F.col("base") + F.col("at")).alias("index"), "doc_id", "seq", "tokens")
-    blocks = numbered.mapInArrow(_blocks(total, shard_size, key), "shard int, block binary")
-    shards = max(1, -(-total // shard_size))
+    own = F.xxhash64("doc_id", "seq", "tokens")
+    parts = staged.groupBy("part").agg(F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.sum(F.shiftright(own, 24)).alias("s"))
+    parts = materialise(parts.select("part", "n", "x", "s", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "token-parts")
+    total, x, s = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.bit_xor("x"), F.sum("s")).first()
     end = encoder_for(vocabulary).end
-    dealt = blocks.repartitionById(shards, "shard").sortWithinPartitions("shard")
-    out = materialise(dealt.mapInArrow(_writer(folder, total, length, shard_size, key, end), "doc_id long, seq int, n_tokens int, slot long, shard long, byte_offset long, record_xxh64 string"), "token-records")
+    run_id = xxhash.xxh64_intdigest(repr((total, x, s, vocabulary, length, shard_size, key, end)))
+    numbered = staged.join(F.broadcast(parts.select("part", "base")), "part").select((F.col("base") + F.col("at")).alias("index"), "doc_id", "seq", "tokens")  # a row for each task
+    blocks = numbered.mapInArrow(_blocks(total, shard_size, key), "shard int, block binary")
+    shards = -(-total // shard_size)
+    manifest = {"sequences": total, "length": length, "stride": 16 + 2 * length, "header": HEADER_SIZE, "shard_size": shard_size, "shards": shards, "key": key, "run": run_id, "vocabulary": vocabulary, "end_of_text": end}
+    if _manifest(folder) != manifest:
+        remove(spark, f"{folder}/manifest.json")  # no reader takes the shards of two runs for one
+    dealt = blocks.repartitionById(max(1, shards), "shard").sortWithinPartitions("shard")
+    out = materialise(dealt.mapInArrow(_writer(folder, total, length, shard_size, key, end, run_id), "doc_id long, seq int, n_tokens int, slot long, shard long, byte_offset long, record_xxh64 string"), "token-records")
     discard(staged)
-    _write_text(spark, f"{folder}/manifest.json", json.dumps({"sequences": total, "length": length, "stride": 16 + 2 * length, "header": HEADER_SIZE, "shard_size": shard_size, "shards": -(-total // shard_size), "key": key, "vocabulary": vocabulary, "end_of_text": end}))
+    discard(parts)
+    _remove_others(folder, shards)
+    _write_text(spark, f"{folder}/manifest.json", json.dumps(manifest))
     return out, folder
 
 
+def _manifest(folder: str) -> dict | None:
+    filesystem, base = _filesystem(folder)
+    if not filesystem.get_file_info(f"{base}/manifest.json").is_file:
+        return None
+    with filesystem.open_input_file(f"{base}/manifest.json") as f:
+        return json.loads(f.read())
+
+
+def _remove_others(folder: str, shards: int) -> None:
+    """Deletes what earlier runs have left beside the shards: unfinished files and shards beyond the last."""
+    from pyarrow import fs
+
+    filesystem, base = _filesystem(folder)
+    for f in filesystem.get_file_info(fs.FileSelector(base)):
+        name = f.base_name
+        if name.startswith(".shard-") or (name.startswith("shard-") and int(name[6:-4]) >= shards):
+            filesystem.delete_file(f.path)
+
+
 def _mkdirs(spark: SparkSession, folder: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -160,9 +161,12 @@ def test_permutation_is_a_bijection():
 def test_encoder_equals_whole_encoding():
     e, r = token_shards.Encoder(memo=50), random.Random(2)
     parts = ["a", "B", "'s", "'ll", " ", " ", "\n", "!", "é", "  ", " ", "漢", "9", "\0", "word"]
-    for _ in range(3000):
-        text = "".join(r.choice(parts) for _ in range(r.randrange(14)))
-        assert e.encode(text) == e._ids(text), text
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(3000)] + [None, "", "x" * 99]
+    for some in (texts, texts[:1], [], [t for t in texts if t and t.isalnum()]):
+        ids, sizes = e.encode(pa.array(some, pa.string()))
+        assert [x.tobytes() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [e._ids(t or "") for t in some]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    assert pa.Table.from_batches(token_shards.slices(batch, 0, 20)).column(0).to_pylist() == texts
 
 
 def test_shards_round_trip(messy, none, tmp_path):
@@ -174,7 +178,7 @@ def test_shards_round_trip(messy, none, tmp_path):
     assert [s for s, *_ in records] == list(range(reader.manifest["sequences"])) == sorted(r.slot for r in rows.collect())
     want = Counter()
     for (doc_id, text), n in docs.items():
-        data = np.frombuffer(e.encode(text), "<u2").tolist() + [e.end]
+        data = np.frombuffer(e._ids(text), "<u2").tolist() + [e.end]
         for k in range(0, len(data), 32):
             want[doc_id, k // 32, tuple(data[k : k + 32])] += n
     assert Counter((d, q, tuple(t.tolist())) for _, d, q, t in records) == want
@@ -187,15 +191,29 @@ def test_shards_round_trip(messy, none, tmp_path):
     assert empty.count() == 0 and list(token_shards.ShardReader(folder).records()) == []
 
 
+def shard_bytes(folder):
+    return {p.name: p.read_bytes() for p in folder.iterdir() if p.name.endswith(".bin") and not p.name.startswith(".")}
+
+
 def test_shards_resume(messy, tmp_path):
-    """A shard that was lost is written again, with the same bytes; whole ones are left alone."""
-    one = messy.coalesce(1)
-    _, folder = token_shards.write_shards(one, f"file://{tmp_path}/out", length=32, shard_size=50)
-    path = tmp_path / "out" / token_shards.shard_name(1)
-    before = path.read_bytes()
-    path.unlink()
-    token_shards.write_shards(one, folder, length=32, shard_size=50)
-    assert path.read_bytes() == before
+    """A shard that was lost is written again, with the same bytes, however the rows lie; whole ones
+    are left alone. Shards of another key, other documents or another size are replaced."""
+    at, small = tmp_path / "out", {"length": 32, "shard_size": 50}
+    rows, folder = token_shards.write_shards(messy.coalesce(1), f"file://{at}", **small)
+    before, first, index = shard_bytes(at), rows.orderBy("slot").collect(), {p.name: p.stat().st_ino for p in at.iterdir()}
+    (at / token_shards.shard_name(1)).unlink()
+    (at / ".shard-00000001.bin.unfinished").write_bytes(b"x")
+    (at / token_shards.shard_name(2)).write_bytes(b"\0" * len(before[token_shards.shard_name(2)]))
+    again, _ = token_shards.write_shards(messy.repartition(5), folder, **small)
+    assert shard_bytes(at) == before and again.orderBy("slot").collect() == first
+    assert (at / token_shards.shard_name(0)).stat().st_ino == index[token_shards.shard_name(0)] and not list(at.glob(".shard*.unfinished"))
+    for docs, more in ((messy, {"key": 7}), (messy.where("doc_id % 3 > 0"), {}), (messy, {"shard_size": 90})):
+        rows, _ = token_shards.write_shards(docs, folder, **(small | more))
+        fresh, _ = token_shards.write_shards(docs, f"file://{tmp_path}/fresh{len(list(tmp_path.iterdir()))}", **(small | more))
+        assert rows.orderBy("slot").collect() == fresh.orderBy("slot").collect()
+        assert shard_bytes(at) == shard_bytes(max(tmp_path.glob("fresh*"), key=lambda p: p.stat().st_mtime)) != before
+        held = Counter((d, q) for _, d, q, _ in token_shards.ShardReader(folder).records())
+        assert held == Counter((r.doc_id, r.seq) for r in rows.collect())
 
 
 # --- op3 ---
