@@ -43,8 +43,8 @@ MAGIC, VERSION = b"DLTOKENS", 2
 NO_ID = -(1 << 63)
 #: Bytes of token ids of a task that are packed by shard at once.
 PACKED = 1 << 25
-#: Bytes of text that are encoded at once, and words whose ids a worker remembers.
-SLICE, MEMO = 1 << 22, 200_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 23
 #: White space that is not a single space or line feed between words.
 _UNEVEN = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 
@@ -54,10 +54,11 @@ class Encoder:
 
     Where all white space is single spaces and line feeds between words, the pattern splits before
     each space and around each line feed, so the distinct words (with the space before them) of a
-    batch are encoded once. Other texts are encoded whole.
+    batch are encoded once, in one call, with line feeds between them: no word holds one, so its
+    token marks where words end. Other texts are encoded whole.
     """
 
-    def __init__(self, name: str = VOCABULARY, memo: int = MEMO):
+    def __init__(self, name: str = VOCABULARY):
         import base64
 
         import public_tokenizers
@@ -69,21 +70,19 @@ class Encoder:
         if self.end >= 1 << 16:
             raise ValueError("token ids must fit 16 bits")
         self.bpe = tiktoken.Encoding("driftloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.memo: dict[str, bytes] = {}
-        self.limit = memo
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        ids = self.memo.get(word)
-        if ids is None:
-            ids = self._ids(word)
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            if len(word) <= 32:
-                self.memo[word] = ids
-        return ids
+        # Words hold no white space but a space before them, so the look-ahead of the pattern is no matter there.
+        self.word_bpe = tiktoken.Encoding("driftloom-words", pat_str=public_tokenizers.PATTERN.replace(r"|\s+(?!\S)|\s+", r"|\s"), mergeable_ranks=ranks, special_tokens={})
+        (self.feed,) = self.bpe.encode_ordinary("\n")
+
+    def whole(self, text: str) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each word); words hold no white space but a space before them."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py() + "\n"
+        ids = self.word_bpe.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+        ends = np.flatnonzero(ids == self.feed)
+        return ids, np.diff(ends, prepend=-1) - 1
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text) of a few texts; null is empty."""
@@ -93,19 +92,21 @@ class Encoder:
         marked = pc.replace_substring(pc.replace_substring(pc.if_else(even, texts, ""), " ", "\0 "), "\n", "\0\n\0")
         words = pc.split_pattern(marked, "\0")
         coded, ends = words.flatten().dictionary_encode(), words.offsets.to_numpy()
-        known = [self._word(w) for w in coded.dictionary.to_pylist()]
-        counts = np.fromiter(map(len, known), np.int64, len(known)) // 2
-        ids, at = np.frombuffer(b"".join(known), "<u2"), np.cumsum(counts) - counts
+        feed = pc.index(coded.dictionary, "\n").as_py()
+        ids, counts = self.words(pc.replace_substring(coded.dictionary, "\n", ""))
+        at = np.cumsum(counts + 1) - counts - 1
+        if feed >= 0:  # it stands as the empty word, whose end is a line feed itself
+            counts[feed] = 1
         place = coded.indices.to_numpy()
         n = counts[place]
         upto = np.concatenate(([0], np.cumsum(n)))
-        out = ids[np.repeat(at[place] - upto[:-1], n) + np.arange(upto[-1])]
+        out = ids[np.repeat((at[place] - upto[:-1]).astype(np.int32), n) + np.arange(upto[-1], dtype=np.int32)]
         upto = upto[ends]
         sizes = np.diff(upto)
         if pc.all(even).as_py() is False:
             parts, last = [], 0
             for i in np.flatnonzero(~even.to_numpy(zero_copy_only=False)).tolist():
-                own = np.frombuffer(self._ids(texts[i].as_py()), "<u2")
+                own = self.whole(texts[i].as_py())
                 parts += [out[last : upto[i]], own]
                 last, sizes[i] = upto[i], len(own)
             out = np.concatenate([*parts, out[last:]])
