@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import materialise
+from driftloom.llm.common import discard, materialise
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -37,7 +37,8 @@ def word_count(text: Column | str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, target) from (source, source_size), one row for each source.
+    """(source, source_size, target) from (source, source_size), one row for each source. The sources
+    are put in order in one task: it grows with their number, not with the documents.
 
     Weights go round over the sources in code point order, null last. Sources without words get
     the target 0.
@@ -73,70 +74,86 @@ def _through(sums: DataFrame, keys: list[str], bucket: str, spent: str) -> DataF
     return rows.groupBy(*keys).agg(end.alias("e")).select(*keys, F.col("e." + bucket).alias(bucket), F.col("e.at").alias("at"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, h, size, source, source_size, target, copies) for each row of ``docs`` (doc_id,
-    text, source, ...): ``copies`` says how often the mix takes the row.
+def _same(x: DataFrame, y: DataFrame, *keys: str) -> Column:
+    out = x[keys[0]].eqNullSafe(y[keys[0]])
+    for k in keys[1:]:
+        out = out & x[k].eqNullSafe(y[k])
+    return out
 
-    ``h`` is the seeded hash that, with doc_id and size, identifies the row (repeated rows share
-    it). Null texts have size 0, a null source is a source of its own, null doc_ids are allowed;
-    other columns are ignored. Reruns agree, however the rows are partitioned. An empty table
-    gives no rows.
-    """
-    h, bits = order_hash(seed), HASH_BITS - BUCKET_BITS
-    rows = materialise(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count("text").alias("size"), h.alias("h")), "mixing")
-    b1 = F.shiftright("h", bits).alias("b1")
-    b2 = F.shiftright("h", bits - BUCKET_BITS).alias("b2")
+
+def _bucket(level: int) -> Column:
+    return F.shiftright("h", HASH_BITS - level * BUCKET_BITS)
+
+
+def plan_of(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """A row for each source of ``rows`` (source, size, h): (source, source_size, target, epochs, goal,
+    e1, e2, spent). All its rows are taken epochs times; once more the rows before the buckets e1 and,
+    within it, e2, and of e2 itself as many as bring ``spent`` to ``goal``. Null e1: all of them."""
+    b1, b2 = _bucket(1).alias("b1"), _bucket(2).alias("b2")
     sums = materialise(rows.groupBy("source", b1).agg(F.sum("size").alias("n")), "mixing-buckets")
     goals = materialise(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn(
         "goal", F.col("target") - F.col("epochs") * F.col("source_size")), "mixing-targets")
-    same = lambda x, y, *keys: F.lit(True) if not keys else _and([x[k].eqNullSafe(y[k]) for k in keys])
-    coarse = sums.join(goals, same(sums, goals, "source")).select(sums.source, "b1", "n", "goal", F.lit(0).alias("zero"))
+    coarse = sums.join(goals, _same(sums, goals, "source")).select(sums.source, "b1", "n", "goal", F.lit(0).alias("zero"))
     ends1 = materialise(_through(coarse, ["source"], "b1", "zero"), "mixing-ends")
     # Of the one bucket in which a source's selection ends: its sizes by finer buckets.
     inside = rows.select("source", "size", b1, b2)
-    inside = inside.join(ends1, same(inside, ends1, "source", "b1")).select(inside.source, "size", "b2", "at")
+    inside = inside.join(ends1, _same(inside, ends1, "source", "b1")).select(inside.source, "size", "b2", "at")
     fine = inside.groupBy("source", "b2", "at").agg(F.sum("size").alias("n"))
-    fine = fine.join(goals, same(fine, goals, "source")).select(fine.source, "b2", "n", "goal", "at")
+    fine = fine.join(goals, _same(fine, goals, "source")).select(fine.source, "b2", "n", "goal", "at")
     ends2 = _through(fine, ["source"], "b2", "at").withColumnRenamed("at", "spent")
-    plan = goals.join(ends1, same(goals, ends1, "source"), "left").select(goals["*"], ends1.b1.alias("e1"))
-    plan = materialise(plan.join(ends2, same(plan, ends2, "source"), "left").select(plan["*"], ends2.b2.alias("e2"), "spent"), "mixing-plan")
-    placed = rows.join(plan, same(rows, plan, "source")).select(rows["*"], "source_size", "target", "epochs", "goal", "e1", "e2", "spent")
-    # Null e1: the whole source lies within its goal.
-    at1, at2 = F.shiftright("h", bits), F.shiftright("h", bits - BUCKET_BITS)
-    last = F.col("e1").isNotNull() & (at2 == F.col("e2"))
+    plan = goals.join(ends1, _same(goals, ends1, "source"), "left").select(goals["*"], ends1.b1.alias("e1"))
+    plan = materialise(plan.join(ends2, _same(plan, ends2, "source"), "left").select(plan["*"], ends2.b2.alias("e2"), "spent"), "mixing-plan")
+    for table in (sums, goals, ends1):
+        discard(table)
+    return plan
+
+
+def copies(rows: DataFrame, plan: DataFrame, tie: Column) -> DataFrame:
+    """``rows`` (doc_id, source, size, h, ...) with source_size, target and copies. Only the rows of the
+    bucket in which a source's selection ends are put in order; ``tie`` orders equal ones."""
+    placed = rows.join(plan, _same(rows, plan, "source")).select(rows["*"], "source_size", "target", "epochs", "goal", "e1", "e2", "spent")
+    kept, at1, at2 = [*rows.columns, "source_size", "target"], _bucket(1), _bucket(2)
+    last = F.coalesce(F.col("e1").isNotNull() & (at2 == F.col("e2")), F.lit(False))
     sure = (F.col("goal") > 0) & F.when(F.col("e1").isNull(), True).otherwise((at1 < F.col("e1")) | ((at1 == F.col("e1")) & (at2 < F.col("e2"))))
-    kept = ["doc_id", "h", "size", "source", "source_size", "target"]
-    plain = placed.where(~last | last.isNull()).select(*kept, (F.col("epochs") + sure.cast("int")).alias("copies"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("h", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0))
+    plain = placed.where(~last).select(*kept, (F.col("epochs") + sure.cast("int")).alias("copies"))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("h", F.col("doc_id").asc_nulls_last(), "size", tie).rowsBetween(Window.unboundedPreceding, 0))
     edge = placed.where(last).withColumn("upto", F.col("spent") + upto)
     more = (F.col("upto") - F.col("size") / 2 <= F.col("goal")) & (F.col("goal") > 0)
     edge = edge.select(*kept, (F.col("epochs") + more.cast("int")).alias("copies"))
     return plain.unionByName(edge).withColumn("copies", F.col("copies").cast("int"))
 
 
-def _and(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def _keyed(docs: DataFrame, seed: int) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), order_hash(seed).alias("h")]
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, h, source_size, target, copies) for each row of ``docs`` (doc_id, text,
+    source, ...): ``copies`` says how often the mix takes the row.
+
+    ``h`` is the seeded hash of doc_id and text. Null texts have size 0, a null source is a source of
+    its own, null doc_ids are allowed; other columns are ignored. Repeated rows are mixed each. Reruns
+    agree, however the rows are partitioned. An empty table gives no rows.
+    """
+    rows = materialise(docs.select(*_keyed(docs, seed)), "mixing")
+    return copies(rows, plan_of(rows, weights, max_epochs), F.lit(0))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of the mix: each row of ``docs`` as often as mix() says, with its own columns."""
-    plan = mix(docs, weights, max_epochs, seed)
-    taken = plan.groupBy(F.col("h").alias("_h"), F.col("doc_id").alias("_id")).agg(
-        F.max("copies").alias("_most"), F.min("copies").alias("_least"), F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), order_hash(seed).alias("_h"), F.col("doc_id").cast("long").alias("_id"))
-    out = packed.alias("d").join(taken.where("_sum > 0").alias("t"), F.expr("d._h = t._h and d._id <=> t._id")).drop(F.col("d._id"), F.col("d._h"))
-    # Of _n equal rows, _sum copies in all: the first ones give one more than the others.
-    number = F.row_number().over(Window.partitionBy("_h", "_id").orderBy(F.lit(0)))
-    equal = out.where("_most = _least").select("row", F.col("_most").alias("n"))
-    edge = out.where("_most <> _least").withColumn("_i", number).select(
-        "row", (F.col("_least") + (F.col("_i") <= F.col("_sum") - F.col("_least") * F.col("_n")).cast("int")).alias("n"))
-    return equal.unionByName(edge).where("n > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).select("row.*")
+    """The rows of the mix: each row of ``docs`` as often as mix() says, with its own columns.
+
+    A row's copies follow from its source's plan, so rows meet the plan (a row for each source) only,
+    never each other; equal texts in several sources are taken as often as their own source says. Of
+    rows with equal doc_id, text and source, the first ones by all columns come first. Nulls, repeated
+    rows and empty tables as in mix().
+    """
+    keys = materialise(docs.select(*_keyed(docs, seed)[1:]), "mixing")
+    plan = plan_of(keys, weights, max_epochs)
+    discard(keys)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), *_keyed(docs, seed))
+    out = copies(packed, plan, F.to_json("row")).where("copies > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:

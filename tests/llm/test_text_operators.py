@@ -326,6 +326,24 @@ def test_mixed_rows(messy):
     assert got == +want and out.columns == messy.columns
 
 
+def test_mixed_rows_follow_their_own_source(spark, none):
+    """Equal texts without id in several sources, and rows that differ in other columns only."""
+    rows = [(None, "same text here", s, k) for s, n in (("a", 1), ("b", 1), ("c", 4), (None, 2)) for k in range(n)]
+    rows += [(i, "w " * (i % 9 + 1), "abc"[i % 3] if i % 20 else None, 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    for weights, epochs in (((1, 2, 30), 7),):
+        want = Counter()
+        for r in mixing.mix(docs, weights, epochs).collect():
+            want[r.doc_id, r.source, r.size] += r.copies
+        runs = [Counter(map(tuple, mixing.mixed(docs.repartition(n), weights, epochs).collect())) for n in (1, 6)]
+        assert runs[0] == runs[1]
+        got = Counter()
+        for (i, t, s, _), n in runs[0].items():
+            got[i, s, len(t.split())] += n
+        assert got == +want and len({n for (i, _, s, _), n in runs[0].items() if i is None}) > 1
+    assert mixing.mixed(none).count() == 0 and mixing.mixed(none).columns == none.columns
+
+
 # --- op8 ---
 
 def brute_contamination(text, items):
