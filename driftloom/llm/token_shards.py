@@ -172,8 +172,9 @@ def _record(length: int) -> np.dtype:
 
 
 def pack(slots: np.ndarray, ids: np.ndarray, seqs: np.ndarray, sizes: np.ndarray, tokens: memoryview) -> bytes:
-    """Sequences as one compressed block: counts, columns, then all token ids one after the other."""
-    raw = b"".join((struct.pack("<q", len(slots)), slots.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), seqs.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), tokens))
+    """Sequences as one compressed block: count, columns (slots count within the shard), then all token ids
+    one after the other."""
+    raw = b"".join((struct.pack("<q", len(slots)), slots.astype("<u4").tobytes(), ids.astype("<i8").tobytes(), seqs.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), tokens))
     return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
@@ -181,13 +182,13 @@ def unpack(block: bytes, length: int, end: int) -> tuple[np.ndarray, np.ndarray]
     """(slots, records) of a block, the records padded with ``end``."""
     raw = pa.Codec("zstd").decompress(block[8:], decompressed_size=struct.unpack_from("<q", block)[0], asbytes=True)
     (n,), at = struct.unpack_from("<q", raw), 8
-    slots = np.frombuffer(raw, "<i8", n, at)
+    slots = np.frombuffer(raw, "<u4", n, at)
     out = np.empty(n, _record(length))
-    out["doc_id"] = np.frombuffer(raw, "<i8", n, at + 8 * n)
-    out["seq"] = np.frombuffer(raw, "<u4", n, at + 16 * n)
-    out["n"] = np.frombuffer(raw, "<u4", n, at + 20 * n)
+    out["doc_id"] = np.frombuffer(raw, "<i8", n, at + 4 * n)
+    out["seq"] = np.frombuffer(raw, "<u4", n, at + 12 * n)
+    out["n"] = np.frombuffer(raw, "<u4", n, at + 16 * n)
     ids = np.full((n, length), end, "<u2")
-    ids[np.arange(length) < out["n"][:, None]] = np.frombuffer(raw, "<u2", -1, at + 24 * n)
+    ids[np.arange(length) < out["n"][:, None]] = np.frombuffer(raw, "<u2", -1, at + 20 * n)
     out["ids"] = ids
     return slots, out
 
@@ -197,13 +198,13 @@ def _blocks(total: int, size: int, key: int):
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         slot = permute(t.column(0).to_numpy(), total, key)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot // size, kind="stable")  # sequences of a document stay together: they compress better
         t, slot = t.take(pa.array(order)).combine_chunks(), slot[order]
         ids, seqs, tokens = t.column(1).fill_null(NO_ID).to_numpy(), t.column(2).to_numpy(), t.column(3).chunk(0)
         ends, data = np.frombuffer(tokens.buffers()[1], "<i4", len(tokens) + 1, 4 * tokens.offset), memoryview(tokens.buffers()[2])
         sizes, shards = np.diff(ends) // 2, slot // size
         cuts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True]))).tolist()
-        blocks = [pack(slot[a:b], ids[a:b], seqs[a:b], sizes[a:b], data[ends[a] : ends[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        blocks = [pack(slot[a:b] % size, ids[a:b], seqs[a:b], sizes[a:b], data[ends[a] : ends[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(shards[cuts[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +265,8 @@ def _writer(folder: str, total: int, length: int, size: int, key: int, end: int,
                     records = np.zeros(min(size, total - k * size), _record(length))
                     have = np.zeros(len(records), bool)
                 slots, part = unpack(block.as_py(), length, end)
-                records[slots - k * size] = part
-                have[slots - k * size] = True
+                records[slots] = part
+                have[slots] = True
                 seen += len(slots)
         if shard is not None:
             yield close()
