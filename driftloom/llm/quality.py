@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
 Each whole text gives a fixed vector of transformed statistics. The fit gathers, for each class,
-the count, the sums and the cross products of the vectors of all labelled training rows: a table of
-fixed size, summed on the executors. Class covariances are shrunk towards the pooled covariance and
+the count, the sums and the cross products of the vectors of labelled training rows (about FIT_ROWS
+at most, by hash): a table of fixed size, summed on the executors. Class covariances are shrunk towards the pooled covariance and
 its mean variance, and scores are differences of the two log-densities (plus log priors), with
 Mahalanobis distances from Cholesky factors that are computed once and cached in the model.
 """
@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import materialise
 
 FEATURES = (
     "word_length", "word_length_sd", "upper", "digits", "punctuation",
@@ -29,6 +28,8 @@ FEATURES = (
 TO_POOLED, TO_SPHERE = 0.3, 0.02
 #: Log-odds are divided by this before the logistic function, which leaves order and sign.
 TEMPER = 4.0
+#: Labelled rows that the fit takes at most, about: a model of 2 x 152 numbers has long settled then.
+FIT_ROWS = 100_000
 #: The held-out fold: crc32(doc_id as text) mod 3 is 1.
 FOLDS, HELD_OUT = 3, 1
 _KIND = np.full(256, 0, np.uint8)  # 1 upper, 2 digit, 3 punctuation, 4 symbol, 5 pipe, 6 exclamation mark, 7 sentence end, 8 space
@@ -62,11 +63,8 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = np.array([features(t.as_py()) for t in b.column(b.num_columns - 1)]).reshape(-1)
-        offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(FEATURES))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(x, pa.float64()))], names=[*b.schema.names[:-1], "x"])
+def _matrix(texts: pa.Array) -> np.ndarray:
+    return np.array([features(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -78,8 +76,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d, sums = len(FEATURES) + 1, {}
     for b in batches:
         y = b.column(0).to_numpy(zero_copy_only=False)
-        x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d - 1)
-        x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
+        x = np.concatenate((np.ones((b.num_rows, 1)), _matrix(b.column(1))), axis=1)
         for label in np.unique(y):
             part = x[y == label]
             sums[label] = sums.get(label, 0) + part.T @ part
@@ -135,12 +132,19 @@ def fit(moments: dict[int, np.ndarray], to_pooled: float = TO_POOLED, to_sphere:
     return Discriminant(prior, mean, np.array(covariance))
 
 
-def train(rows: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fits on all labelled rows (doc_id, x) of the training folds; labels: (doc_id, quality).
-    Null or other labels are left out; a doc_id labelled or held twice counts as often."""
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Discriminant:
+    """Fits on the labelled rows of ``docs`` (doc_id, text) in the training folds; labels: (doc_id,
+    quality). Of more labels than ``fit_rows`` those with the smallest hashes of doc_id are taken, so
+    that only their texts are read twice. Null or other labels are left out; a label given
+    twice counts once, a doc_id held twice twice."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
-    marked = marked.where(~held_out("doc_id"))
-    sums = rows.join(marked, "doc_id").select("label", "x").mapInArrow(_moments, "label int, i int, j int, s double")
+    marked = marked.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).distinct()
+    spread = F.shiftrightunsigned(F.xxhash64(F.lit(0x51), "doc_id"), 1)  # 63 bits
+    known = marked.count()
+    if known > fit_rows:
+        marked = marked.where(spread < int(fit_rows / known * 2**63))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id")  # fit_rows of 12 bytes, about
+    sums = rows.select("label", "text").mapInArrow(_moments, "label int, i int, j int, s double")
     d, out = len(FEATURES) + 1, {}
     for r in sums.groupBy("label", "i", "j").agg(F.sum("s").alias("s")).collect():  # 2 classes of fixed size
         m = out.setdefault(r.label, np.zeros((d, d)))
@@ -151,8 +155,7 @@ def train(rows: DataFrame, labels: DataFrame) -> Discriminant:
 def _scorer(model: Discriminant):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], names=["doc_id", "score"])
 
     return run
 
@@ -164,22 +167,21 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score; a null doc_id is not held out; repeated rows are scored each; other columns are
     ignored. An empty table gives no rows; without labels every score is one half.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_with_features, "doc_id long, x array<double>")
-    rows = materialise(rows, "quality-features")
-    scored = rows.mapInArrow(_scorer(train(rows, labels)), "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = rows.mapInArrow(_scorer(train(docs, labels)), "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns; labels only train."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_with_features, "doc_id long, x array<double>")
-    model, names = train(rows, labels), docs.columns
+    """The rows of ``docs`` that the classifier accepts (score 0.5 or more), with all their columns;
+    labels only train. Null and empty texts share one score, so all of them stay or go; equal texts
+    stay or go together. An empty table gives no rows; without labels every row stays."""
+    model, names = train(docs, labels), docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for b in batches:
-            x = np.array([features(t.as_py()) for t in b.column(at)]).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(model.score(x) >= 0.5))
+            yield b.filter(pa.array(model.score(_matrix(b.column(at))) >= 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
 
