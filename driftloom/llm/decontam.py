@@ -3,8 +3,8 @@
 Texts are lower-cased (A-Z), ASCII punctuation is removed and words are split at white space.
 An item of n words is looked for in all windows of n words. A window of b shingles that has similarity
 t with an item of a shingles shares at least t / (1 + t) * (a + b) of them, so windows are laid at
-every start from which they hold that many of the item's shingles, in whatever order; any other
-window has less. Each window's 64-bit SimHash (shingles weighted by how often they occur) is looked up in a multi-index: eight
+every start from which they hold that many of the item's shingles, in whatever order; any other window is
+below the threshold. Each window's 64-bit SimHash (shingles weighted by how often they occur) is looked up in a multi-index: eight
 blocks of eight bits, and by the pigeonhole principle an item within ``RADIUS`` = 23 bits differs in
 at most two bits in some block, so probing every block with up to two bits changed finds all items
 within the radius. Each candidate is verified by the exact weighted Jaccard similarity of the
@@ -41,6 +41,8 @@ BLOCK_BYTES = 16 << 20
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _FILTER_BITS = 22
+#: Meetings of a text's shingles with items that are counted at once.
+MEETINGS = 1 << 18
 #: Window starts that are compared at once.
 CHUNK = 1 << 12
 #: Bytes to change in a block: up to two bits of eight.
@@ -57,15 +59,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    """A hash of each shingle from the hashes of its words."""
-    n = len(h) - WORDS + 1
+def _sequences(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words from the hashes of the words."""
+    n = len(h) - size + 1
     out = h[:n] * _MULTIPLIERS[0]
-    for k in range(1, WORDS):
+    for k in range(1, size):
         out += h[k : k + n] * _MULTIPLIERS[k]
     return out
 
 
+def _grams(h: np.ndarray) -> np.ndarray:
+    """A hash of each shingle from the hashes of its words."""
+    return _sequences(h, WORDS) if len(h) >= WORDS else np.zeros(0, np.uint64)
+
+
 def shingles(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the five-word shingles, repeats included, the same in every process."""
     if len(words) < WORDS:
@@ -101,12 +108,12 @@ class ItemIndex:
             raise ValueError("eight blocks with two changes cover a radius from 0 to 23")
         self.threshold, self.radius = threshold, radius
         self.ids, self.sizes, self.shingles, prints, grams = [], [], [], [], []
-        self.short: dict[tuple, list[int]] = {}
+        self.short: dict[int, dict[tuple, list[int]]] = {}
         for item_id, text in items:
             words = normalised(text)
-            if len(words) < WORDS:  # no shingle: such an item equals only a text of just its words
+            if len(words) < WORDS:  # its one shingle is the whole sequence
                 if words:
-                    self.short.setdefault(tuple(words), []).append(item_id)
+                    self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(item_id)
                 continue
             h = shingles(words)
             self.ids.append(item_id)
@@ -123,8 +130,10 @@ class ItemIndex:
         order = np.argsort(all_grams, kind="stable")
         self.gram = all_grams[order]
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)[order]
+        self.grams = [np.unique(g) for g in grams]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.gram >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.short_hashes = {n: np.unique([_sequences(self._local(list(w)), n)[0] for w in found]) for n, found in self.short.items()}
 
     @staticmethod
     def _local(words: list[bytes]) -> np.ndarray:
@@ -145,21 +154,25 @@ class ItemIndex:
         g = _grams(self._local(words))
         at = np.flatnonzero(self.filter[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         low, high = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
-        n = high - low
-        if not n.sum():
-            return {}
-        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        # Each position counts once for an item, though the item may repeat the shingle.
-        item, place = np.divmod(np.unique(self.item[entry] * len(g) + np.repeat(at, n)), len(g))
+        at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+        # How often the text meets each item's shingles, in bounded steps, however many items share one.
+        total, upto, start = np.zeros(len(self.sizes), np.int64), np.cumsum(n), 0
+        while start < len(at):
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + MEETINGS, "right")))
+            m = n[start:end]
+            entry = np.repeat(low[start:end] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            total += np.bincount(self.item[entry], minlength=len(total))
+            start = end
+        sizes = np.minimum(self.sizes, len(words)) if len(total) else total
+        counts = np.array([len(h) for h in self.shingles], np.int64)
+        least = np.maximum(1, np.ceil(self.threshold / (1 + self.threshold) * (counts + sizes - WORDS + 1) - 1e-9).astype(np.int64))
         found: dict[int, list[tuple[int, int]]] = {}
-        for hits in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
-            k, p = item[hits[0]], place[hits]
-            size = min(self.sizes[k], len(words))
+        for k in np.flatnonzero(total >= least).tolist():
+            size, few, p = int(sizes[k]), int(least[k]), at[np.isin(g[at], self.grams[k])]
             b = size - WORDS + 1
-            least = max(1, math.ceil(self.threshold / (1 + self.threshold) * (len(self.shingles[k]) + b) - 1e-9))
-            if least > len(p):
+            if few > len(p):
                 continue
-            first, last = p[least - 1 :], p[: len(p) - least + 1]
+            first, last = p[few - 1 :], p[: len(p) - few + 1]
             held = first - last < b
             for s, e in zip(np.maximum(first[held] - b + 1, 0).tolist(), np.minimum(last[held], len(words) - size).tolist(), strict=True):
                 found.setdefault(size, []).append((s, e + 1))
@@ -177,10 +190,12 @@ class ItemIndex:
     def matches(self, text: str | None) -> dict[int, float]:
         """item_id -> best similarity, of the items found in a text."""
         words = normalised(text)
-        if len(words) < WORDS:
-            return dict.fromkeys(self.short.get(tuple(words), ()), 1.0)
         out: dict[int, float] = {}
-        if not len(self.gram):
+        for n, items in self.short.items():
+            if n <= len(words):
+                for i in np.flatnonzero(np.isin(_sequences(self._local(words), n), self.short_hashes[n])).tolist():
+                    out |= dict.fromkeys(items.get(tuple(words[i : i + n]), ()), 1.0)
+        if len(words) < WORDS or not len(self.gram):
             return out
         near: dict[int, np.ndarray] = {}
         for size, ranges in self.windows(words).items():
@@ -218,10 +233,10 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """(rk1, rk2, item_ids, similarity) for the rows of ``docs`` (doc_id, text, ...) that hold an
     item of ``items`` (item_id, text, ...): the sorted item ids and the best similarity.
 
-    Null and empty texts match nothing, items without item_id count in the similarity but have no id
-    to list, items under five words match a
-    text of just these words, repeated items and rows are no matter, other columns are ignored.
-    rk1 and rk2 identify rows by doc_id and text.
+    Null and empty texts match nothing, and null and empty items are nowhere. Items without item_id
+    count in the similarity but have no id to list. An item under five words is one shingle, its whole
+    sequence, and found wherever these words stand in a row. Repeated items and rows are no matter,
+    other columns are ignored. rk1 and rk2 identify rows by doc_id and text.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
