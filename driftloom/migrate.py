@@ -46,18 +46,18 @@ class DryRun:
 
 # --- Blobs ----------------------------------------------------------------------------------------
 
-def blob_ids(t: Type, catalog: Catalog, c: Column, seen: tuple[str, ...] = ()) -> Column | None:
-    """The blob ids in a value as an array; None for types that cannot hold any."""
-    inner = lambda x, y: blob_ids(x, catalog, y, seen)
-    if t.kind == "blob_id":
+def blob_ids(t: Type, catalog: Catalog, c: Column, seen: tuple[str, ...] = (), kind: str = "blob_id") -> Column | None:
+    """The blob ids (or ids of another ``kind``) in a value as an array; None for types that cannot hold any."""
+    inner = lambda x, y: blob_ids(x, catalog, y, seen, kind)
+    if t.kind == kind:
         return F.when(c.isNotNull(), F.array(c))
     if t.kind == "any":
-        return F.when(c["type_id"] == "blob_id", F.array(F.get_json_object(c["value"], "$")))
+        return F.when(c["type_id"] == kind, F.array(F.get_json_object(c["value"], "$")))
     if t.kind == "ref":
         s = catalog.struct(t.name)
         if s is None or t.name in seen:
             return None
-        return _joined([blob_ids(f.type, catalog, c[f.name], (*seen, t.name)) for f in s.fields])
+        return _joined([blob_ids(f.type, catalog, c[f.name], (*seen, t.name), kind) for f in s.fields])
     if t.kind == "optional":
         return inner(t.args[0], c)
     if t.kind in ("vector", "set", "vec", "mat"):

@@ -8,20 +8,22 @@ disabled. Values are JSON of the type that verb and path address, paths are arra
 
 The new id of a commit is a hash of its old id and the target catalog, so ids are mapped by a
 projection, without walking the graph: topology is kept by construction, and commits can be rewritten
-in any order, in parallel. Opcodes are split by (verb, attachment, path shape): there are as many
-shapes as the schema allows, whatever the length of the log, and each is one projection.
+in any order, in parallel. Opcodes have a shape (verb, attachment, kinds and names on the path): there
+are as many shapes as the schema allows, whatever the length of the log. One projection dispatches by
+shape, so the log is read and sorted once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from driftloom.catalog.catalog import Catalog, Struct
-from driftloom.catalog.types import Type, optional
+from driftloom.catalog.catalog import Catalog
+from driftloom.catalog.types import XARRAY_LIVE, XARRAY_POSITION, XARRAY_VALUE, Type, optional
 from driftloom.functions.nodes import IDENTITY, Node, Refused, one
 from driftloom.migrate import VerificationError, blob_ids
 from driftloom.operators.projection import Compiler, Context
@@ -72,14 +74,21 @@ def _remapped(commits: DataFrame, m: Migration, known: DataFrame) -> DataFrame:
     return out.withColumn("commit_id", new_id(F.col("commit_id"), m)).select("commit_id", "commit_type", "label", "parent_id", "target_id")
 
 
-def steps_column() -> Column:
-    """A path's shape: component kinds, and names for fields only."""
-    return F.concat_ws("/", F.transform("path", lambda p: F.concat(p["kind"], F.lit("="), F.when(p["kind"] == "Field", p["name"]).otherwise(F.lit("")))))
+def arity(catalog: Catalog) -> int:
+    """The length of the longest tuple in a catalog: indexes below it belong to a path's shape."""
+    longest = lambda t: max([len(t.args) if t.kind == "tuple" else 0, *map(longest, t.args)])
+    return max((longest(f.type) for s in catalog.structs for f in s.fields), default=0)
 
 
-def shapes(opcodes: DataFrame) -> list[tuple[Shape, str]]:
+def steps_column(indexes: int = 0) -> Column:
+    """A path's shape: component kinds, with the names of fields and the indexes that may be a tuple's."""
+    name = lambda p: F.when(p["kind"] == "Field", p["name"]).when((p["kind"] == "Index") & (p["idx"] < indexes), p["idx"].cast("string")).otherwise(F.lit(""))
+    return F.concat_ws("/", F.transform("path", lambda p: F.concat(p["kind"], F.lit("="), name(p))))
+
+
+def shapes(opcodes: DataFrame, indexes: int = 0) -> list[tuple[Shape, str]]:
     """The distinct shapes in a log; bounded by the schema, not by the log."""
-    rows = opcodes.select("verb", "attachment", steps_column().alias("steps")).distinct().collect()
+    rows = opcodes.select("verb", "attachment", steps_column(indexes).alias("steps")).distinct().collect()
     out = []
     for r in rows:
         steps = tuple(tuple(s.split("=", 1)) for s in r.steps.split("/")) if r.steps else ()
@@ -124,8 +133,10 @@ def translate(shape: Shape, m: Migration, compiler: Compiler) -> Rewrite | None:
             new, t = d.field_names.get(where, name), f.type
         elif kind == "Unwrap" and t.kind in ("optional", "any"):
             t, where = (t.args[0] if t.kind == "optional" else t), None
-        elif kind == "Index" and t.kind in ("vector", "vec", "tuple"):
+        elif kind == "Index" and t.kind in ("vector", "vec"):
             t, where = t.args[0], None
+        elif kind == "Index" and t.kind == "tuple" and name.isdigit() and int(name) < len(t.args):
+            t, where = t.args[int(name)], None
         elif kind == "Key" and t.kind == "map":
             t, where = t.args[1], None
         elif kind == "Position" and t.kind == "xarray":
@@ -184,61 +195,105 @@ def _renamed(names: Column) -> Column:
         p["kind"].alias("kind"), F.when(p["kind"] == "Field", F.get(names, i)).otherwise(p["name"]).alias("name"), p["idx"].alias("idx"), p["key"].alias("key")))
 
 
-def rewrite_opcodes(log: Log, m: Migration, remap: bool = True) -> tuple[DataFrame, list]:
-    """(target opcodes, refusal sites): sites are (path, op, count frame columns) of policies that
-    act. Opcodes of dropped attachments and of dropped fields are left out."""
-    compiler, dropped = Compiler(m), [a.id for a in m.source.attachments if a.id not in m.attachments]
-    live = fused(log.opcodes.where(~F.col("attachment").isin(*dropped)) if dropped else log.opcodes).withColumn("_steps", steps_column())
-    out, sites = None, []
-    for shape, steps in shapes(log.opcodes.where(~F.col("attachment").isin(*dropped)) if dropped else log.opcodes):
-        r = translate(shape, m, compiler)
-        if r is None:
+def _is(shape: Shape, steps: str) -> Column:
+    return (F.col("verb") == shape.verb) & (F.col("attachment") == shape.attachment) & (F.col("_steps") == steps)
+
+
+def _by_shape(cases: dict[int, Column], other: Column | None = None) -> Column:
+    out = None
+    for k, c in cases.items():
+        out = F.when(F.col("_shape") == k, c) if out is None else out.when(F.col("_shape") == k, c)
+    if out is None:
+        return other if other is not None else F.lit(None)
+    return out if other is None else out.otherwise(other)
+
+
+def rewrite_opcodes(log: Log, m: Migration, remap: bool = True) -> tuple[DataFrame, list, DataFrame]:
+    """(target opcodes, sites, frame): sites are (policy site, count over the frame) of policies that act.
+    Opcodes of dropped attachments and of dropped fields are left out."""
+    compiler, dropped, indexes = Compiler(m), [a.id for a in m.source.attachments if a.id not in m.attachments], arity(m.source)
+    kept = log.opcodes.where(~F.col("attachment").isin(*dropped)) if dropped else log.opcodes
+    found = [(shape, steps, r) for shape, steps in shapes(kept, indexes) if (r := translate(shape, m, compiler)) is not None]
+    if not found:
+        return fused(kept).limit(0), [], kept.limit(0)
+    shape = None
+    for k, (s, steps, _) in enumerate(found):
+        shape = F.when(_is(s, steps), k) if shape is None else shape.when(_is(s, steps), k)
+    frame = fused(kept).withColumn("_steps", steps_column(indexes)).withColumn("_shape", shape).where("_shape is not null")
+    typed, values, sites, bad, goals = {}, {}, [], {}, {}
+    for k, (_, _, r) in enumerate(found):
+        if r.source is None:
             continue
-        rows = live.where((F.col("verb") == shape.verb) & (F.col("attachment") == shape.attachment) & (F.col("_steps") == steps))
-        value = F.col("value")
-        if not r.node.identity and r.source is not None:
-            typed = _Boxed.read(value, m.source.spark_type(r.source if r.source.kind == "optional" else optional(r.source)))
-            rows = rows.withColumn("_v", typed)
-            acting = [s for s in r.node.sites if s.drops or s.fails]
-            for s in r.node.sites:
-                sites.append((shape, s, rows))
-            if acting:
-                bad = None
-                for s in acting:
-                    hit, text = s.count(F.col("_v")) > 0, F.lit(f"[{s.op}] {s.path}: a value has no target value")
-                    bad = F.when(hit, text) if bad is None else bad.when(hit, text)
-                rows = rows.withColumn("_bad", bad).where(F.when(F.col("_bad").isNull(), True).otherwise(F.raise_error(F.col("_bad")).cast("boolean")))
-            value = F.when(F.col("value").isNotNull(), _Boxed.write(r.node.value(F.col("_v"))))
-        names = F.array(*map(F.lit, r.steps)).cast("array<string>") if r.steps else F.array().cast("array<string>")
-        path = _renamed(names)
-        part = rows.select("commit_id", "op_index", "verb", F.lit(m.attachments[shape.attachment]).alias("attachment"), "key", path.alias("path"), value.alias("value"), "position", "before_position")
-        out = part if out is None else out.unionByName(part)
-    out = out if out is not None else live.drop("_steps").limit(0)
+        goals[k] = r.target
+        if r.node.identity:
+            continue
+        v = F.col(f"_v{k}")
+        typed[f"_v{k}"] = F.when(F.col("_shape") == k, _Boxed.read(F.col("value"), m.source.spark_type(r.source if r.source.kind == "optional" else optional(r.source))))
+        values[k] = F.when(F.col("value").isNotNull(), _Boxed.write(r.node.value(v)))
+        sites += [(s, s.count(v)) for s in r.node.sites]
+        for s in r.node.sites:
+            if s.drops or s.fails:
+                text = F.lit(f"[{s.op}] {s.path}: a value has no target value")
+                bad[k] = F.when(s.count(v) > 0, text) if k not in bad else bad[k].when(s.count(v) > 0, text)
+    frame = frame.withColumns(typed) if typed else frame
+    rows = frame
+    if bad:
+        rows = rows.withColumn("_bad", _by_shape(bad)).where(F.when(F.col("_bad").isNull(), True).otherwise(F.raise_error(F.col("_bad")).cast("boolean")))
+    names = {k: (F.array(*map(F.lit, r.steps)) if r.steps else F.array()).cast("array<string>") for k, (_, _, r) in enumerate(found)}
+    attachments = {k: F.lit(m.attachments[s.attachment]) for k, (s, _, _) in enumerate(found)}
+    out = rows.withColumn("_names", _by_shape(names)).select(
+        "commit_id", "op_index", "verb", _by_shape(attachments).alias("attachment"), "key", _renamed(F.col("_names")).alias("path"), _by_shape(values, F.col("value")).alias("value"), "position", "before_position", "_shape")
     if remap:
-        out = _remap_values(out, log, m).withColumn("commit_id", new_id(F.col("commit_id"), m))
-    return out, sites
+        out = _remap_values(out, log, m, goals).withColumn("commit_id", new_id(F.col("commit_id"), m))
+    return out.drop("_shape"), sites, frame
 
 
-def _remap_values(opcodes: DataFrame, log: Log, m: Migration) -> DataFrame:
-    """Commit ids inside values: ids of the log's own commits become the new ones, others stay. They
-    are found as quoted 40-digit hex words in documents whose type holds a commit id."""
-    holding = [m.attachments[a.id] for a in m.source.attachments if a.id in m.attachments and _holds(Type("ref", name=a.document), m.source, "commit_id")]
-    if not holding:
+def _remap_values(opcodes: DataFrame, log: Log, m: Migration, goals: dict[int, Type]) -> DataFrame:
+    """Commit ids inside values, found by their type: ids of the log's own commits become the new ones,
+    others stay. ``goals`` are the types of the values by shape."""
+    held, read = {}, {}
+    for k, t in goals.items():
+        v = _Boxed.read(F.col("value"), m.target.spark_type(t if t.kind == "optional" else optional(t)))
+        ids = blob_ids(t, m.target, v, kind="commit_id")
+        if ids is not None:
+            held[k], read[k] = ids, (t, v)
+    if not held:
         return opcodes
-    ids = F.regexp_extract_all("value", F.lit('"([0-9a-f]{40})"'), F.lit(1))
-    marked = opcodes.withColumn("_id", F.monotonically_increasing_id())
-    found = marked.where(F.col("attachment").isin(*holding)).select("_id", F.explode(F.array_distinct(ids)).alias("old"))
-    known = found.join(log.commits.select(F.col("commit_id").alias("old")).distinct(), "old", "left_semi").groupBy("_id").agg(F.collect_set("old").alias("_old"))
-    out = marked.join(known, "_id", "left")
-    value = F.when(F.col("_old").isNotNull(), F.aggregate("_old", F.col("value"), lambda v, x: F.replace(v, x, F.sha1(F.concat(x, F.lit(m.target.digest())).cast("binary")))))
-    return out.withColumn("value", F.coalesce(value, F.col("value"))).drop("_id", "_old")
-
-
-def _holds(t: Type, catalog: Catalog, kind: str, seen: tuple[str, ...] = ()) -> bool:
+    key = ["commit_id", "op_index"]
+    found = opcodes.where(F.col("_shape").isin(*held)).select(*key, F.explode(F.array_distinct(_by_shape(held))).alias("old"))
+    known = found.join(log.commits.select(F.col("commit_id").alias("old")).distinct(), "old", "left_semi").groupBy(*key).agg(F.collect_set("old").alias("_old"))
+    new = lambda x: F.when(F.array_contains(F.col("_old"), x), new_id(x, m)).otherwise(x)
+    values = {k: _Boxed.write(_mapped(t, m.target, v, "commit_id", new)) for k, (t, v) in read.items()}
+    out = opcodes.join(known, key, "left")
+    return out.withColumn("value", F.when(F.col("_old").isNotNull(), _by_shape(values)).otherwise(F.col("value"))).drop("_old")
+
+
+def _mapped(t: Type, catalog: Catalog, c: Column, kind: str, change: Callable[[Column], Column]) -> Column:
+    """A value with each id of this kind in it changed."""
+    inner = lambda x, y: _mapped(x, catalog, y, kind, change)
     if t.kind == kind:
-        return True
-    s: Struct | None = catalog.struct(t.name) if t.kind == "ref" and t.name not in seen else None
-    return any(_holds(a, catalog, kind, seen) for a in t.args) or bool(s and any(_holds(f.type, catalog, kind, (*seen, s.name)) for f in s.fields))
+        return F.when(c.isNotNull(), change(c))
+    if t.kind == "any":
+        own = F.concat(F.lit('"'), change(F.get_json_object(c["value"], "$")), F.lit('"'))
+        return F.when(c.isNotNull(), F.struct(c["type_id"].alias("type_id"), F.when(c["type_id"] == kind, own).otherwise(c["value"]).alias("value")))
+    if t.kind == "ref" and (s := catalog.struct(t.name)):
+        return F.when(c.isNotNull(), F.struct(*(inner(f.type, c[f.name]).alias(f.name) for f in s.fields)))
+    if t.kind == "optional":
+        if t.args[0].kind == "optional":
+            return F.when(c.isNotNull(), F.struct(c["present"].alias("present"), inner(t.args[0], c["value"]).alias("value")))
+        return inner(t.args[0], c)
+    if t.kind in ("vector", "set", "vec"):
+        return F.transform(c, lambda x: inner(t.args[0], x))
+    if t.kind == "xarray":
+        return F.transform(c, lambda x: F.struct(*(x[n].alias(n) for n in (XARRAY_POSITION, XARRAY_LIVE)), inner(t.args[0], x[XARRAY_VALUE]).alias(XARRAY_VALUE)))
+    if t.kind == "map":
+        keys = F.transform(F.map_keys(c), lambda x: inner(t.args[0], x))
+        return F.when(c.isNotNull(), F.map_from_arrays(keys, F.transform(F.map_values(c), lambda x: inner(t.args[1], x))))
+    if t.kind in ("tuple", "variant"):
+        prefix = "_" if t.kind == "tuple" else "a"
+        parts = [inner(a, c[f"{prefix}{i}"]).alias(f"{prefix}{i}") for i, a in enumerate(t.args)]
+        return F.when(c.isNotNull(), F.struct(*([c["tag"].alias("tag")] if t.kind == "variant" else []), *parts))
+    return c
 
 
 def migrate_log(log: Log, m: Migration) -> Log:
@@ -247,17 +302,17 @@ def migrate_log(log: Log, m: Migration) -> Log:
     if sites := m.directives.drop_record_sites():
         raise Refused(f"[drop-record] a commit log has no records to drop, at {', '.join(sites)}")
     gate_attachments(m)
-    opcodes, _ = rewrite_opcodes(log, m)
+    opcodes, _, _ = rewrite_opcodes(log, m)
     blobs = None
     if log.blobs is not None:
-        blobs = log.blobs.join(log_blobs(opcodes, m.target, log.commits.sparkSession, _target_shapes(log, m)), "blob_id", "left_semi")
+        blobs = log.blobs.join(log_blobs(opcodes, m.target, log.commits.sparkSession, _target_shapes(log, m), arity(m.source)), "blob_id", "left_semi")
     return Log(_remapped(log.commits, m, log.commits), opcodes, m.target, blobs)
 
 
 def _target_shapes(log: Log, m: Migration) -> list[tuple[Shape, str]]:
     """The shapes of the target's opcodes, from those of the source: no opcode is rewritten for it."""
     compiler, out = Compiler(m), {}
-    for shape, _ in shapes(log.opcodes.where(F.col("attachment").isin(*m.attachments))):
+    for shape, _ in shapes(log.opcodes.where(F.col("attachment").isin(*m.attachments)), arity(m.source)):
         if r := translate(shape, m, compiler):
             steps = tuple((kind, name) for (kind, _), name in zip(shape.steps, r.steps, strict=True))
             out[Shape(shape.verb, m.attachments[shape.attachment], steps)] = "/".join("=".join(s) for s in steps)
@@ -271,35 +326,45 @@ def addressed(shape: Shape, catalog: Catalog) -> Type:
         if kind == "Field":
             t = catalog.struct(t.name).field(name).type
         elif t.kind != "any":
-            t = t.args[1] if kind == "Key" else t.args[0]
+            t = t.args[1] if kind == "Key" else t.args[int(name) if t.kind == "tuple" else 0]
     return t
 
 
-def log_blobs(opcodes: DataFrame, catalog: Catalog, spark: SparkSession, found: list[tuple[Shape, str]] | None = None) -> DataFrame:
-    """Distinct blob ids in the values that opcodes add; ``found`` are the shapes of the opcodes."""
-    live, out = opcodes.withColumn("_steps", steps_column()), spark.createDataFrame([], "blob_id string")
-    for shape, steps in shapes(opcodes) if found is None else found:
+def log_blobs(opcodes: DataFrame, catalog: Catalog, spark: SparkSession, found: list[tuple[Shape, str]] | None = None, indexes: int | None = None) -> DataFrame:
+    """Distinct blob ids in the values that opcodes add; ``found`` are the shapes of the opcodes, with
+    indexes below ``indexes``."""
+    indexes = arity(catalog) if indexes is None else indexes
+    live, held = opcodes.withColumn("_steps", steps_column(indexes)), None
+    for shape, steps in shapes(opcodes, indexes) if found is None else found:
         if shape.verb not in ADDING:
             continue
         t = VERBS[shape.verb](addressed(shape, catalog))
-        ids = blob_ids(t, catalog, F.col("_v"))
+        ids = blob_ids(t, catalog, _Boxed.read(F.col("value"), catalog.spark_type(t if t.kind == "optional" else optional(t))))
         if ids is not None:
-            rows = live.where((F.col("verb") == shape.verb) & (F.col("attachment") == shape.attachment) & (F.col("_steps") == steps))
-            typed = _Boxed.read(F.col("value"), catalog.spark_type(t if t.kind == "optional" else optional(t)))
-            out = out.unionByName(rows.select(typed.alias("_v")).select(F.explode(ids).alias("blob_id")))
-    return out.where("blob_id is not null").distinct()
+            held = F.when(_is(shape, steps), ids) if held is None else held.when(_is(shape, steps), ids)
+    if held is None:
+        return spark.createDataFrame([], "blob_id string")
+    return live.select(F.explode(held).alias("blob_id")).where("blob_id is not null").distinct()
 
 
 def dry_run_log(log: Log, m: Migration) -> dict:
-    """Counts without writing: commits of mutations, opcodes, and offenders by site."""
-    _, sites = rewrite_opcodes(log, m, remap=False)
+    """Counts without writing, in one pass: commits of mutations, opcodes, offenders by site; blobs that
+    the target would hold, and those of the log that no opcode of it refers to."""
+    opcodes, sites, frame = rewrite_opcodes(log, m, remap=False)
     counts: dict[tuple[str, str, str], int] = {}
-    for _, s, rows in sites:
-        n = rows.agg(F.sum(s.count(F.col("_v"))).alias("n")).first().n or 0
-        if n:
-            counts[s.path, s.op, s.policy_name] = counts.get((s.path, s.op, s.policy_name), 0) + n
+    if sites:
+        row = frame.agg(*(F.sum(n).alias(f"n{i}") for i, (_, n) in enumerate(sites))).first()
+        for (s, _), n in zip(sites, row, strict=True):
+            if n:
+                counts[s.path, s.op, s.policy_name] = counts.get((s.path, s.op, s.policy_name), 0) + n
     refused = sum(n for (_, _, policy), n in counts.items() if policy in ("fail", "drop-record"))
-    return {"commits": log.commits.where("commit_type = 'Mutations'").count(), "opcodes": log.opcodes.count(), "unrepresentable": refused, "diagnostics": counts}
+    out = {"commits": log.commits.where("commit_type = 'Mutations'").count(), "opcodes": log.opcodes.count(), "unrepresentable": refused, "diagnostics": counts}
+    if log.blobs is not None:
+        held = log_blobs(log.opcodes.where(F.col("attachment").isin(*m.attachments)), m.source, log.commits.sparkSession)
+        have = log.blobs.select("blob_id").distinct()
+        out["referenced_blobs"] = have.join(held, "blob_id", "left_semi").count()
+        out["stranded_blobs"] = have.count() - out["referenced_blobs"]
+    return out
 
 
 def verify_log(source: Log, m: Migration, target: Log) -> dict:
@@ -319,6 +384,11 @@ def verify_log(source: Log, m: Migration, target: Log) -> dict:
         want = expected.blobs.select("blob_id").distinct()
         missing, extra = want.join(have, "blob_id", "left_anti").count(), have.join(want, "blob_id", "left_anti").count()
         problems += [f"{n} {kind} blobs" for kind, n in (("missing", missing), ("unreferenced", extra)) if n]
+        # What the target's own opcodes say, however it came about.
+        source_has = source.blobs.select("blob_id").distinct()
+        own = log_blobs(target.opcodes, m.target, target.commits.sparkSession).join(source_has, "blob_id", "left_semi")
+        dangling = own.join(have, "blob_id", "left_anti").count()
+        problems += [f"{dangling} dangling blobs"] if dangling else []
     if problems:
         raise VerificationError(problems)
     return {"commits": target.commits.count(), "opcodes": target.opcodes.count()}
@@ -326,18 +396,22 @@ def verify_log(source: Log, m: Migration, target: Log) -> dict:
 
 def linear_order(commits: DataFrame) -> DataFrame:
     """(commit_id, depth): the length of the longest chain of parents and merged commits above a
-    commit, by rounds over the frontier of the graph. Rounds are as many as the graph is deep; each
-    is a join, and the graph is never gathered in one place."""
+    commit. Each round doubles the length of the paths that are known, so a history of n commits in a
+    row takes about log2(n) rounds; a round is a join on paths, of which each commit and each of the
+    commits some way above it has one, the longest."""
     edges = commits.select("commit_id", F.col("parent_id").alias("above")).unionByName(
         commits.where("commit_type = 'Merge'").select("commit_id", F.col("target_id").alias("above"))).where("above is not null")
-    edges = edges.join(commits.select(F.col("commit_id").alias("above")), "above", "left_semi")
-    level, depth = commits.join(edges, "commit_id", "left_anti").select("commit_id"), 0
-    out = level.withColumn("depth", F.lit(0))
-    while not level.isEmpty():
-        depth += 1
-        level = edges.join(level.withColumnRenamed("commit_id", "above"), "above", "left_semi").select("commit_id").distinct().checkpoint()
-        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
-    return out.groupBy("commit_id").agg(F.max("depth").alias("depth"))
+    known = commits.select(F.col("commit_id").alias("above"))
+    paths = edges.join(known, "above", "left_semi").distinct().select("commit_id", "above", F.lit(1).alias("length")).checkpoint()
+    depth = commits.select("commit_id", F.lit(0).alias("depth"))
+    # After a round: depths of all commits whose longest chain is shorter than the round's paths are final,
+    # and ``paths`` leads from each commit to those exactly 2 ** round steps up.
+    while not paths.isEmpty():
+        longer = paths.join(depth.select(F.col("commit_id").alias("above"), "depth"), "above").groupBy("commit_id").agg(F.max(F.col("length") + F.col("depth")).alias("more"))
+        depth = depth.join(longer, "commit_id", "left").select("commit_id", F.greatest("depth", F.coalesce("more", F.lit(0))).alias("depth")).checkpoint()
+        up = paths.select(F.col("commit_id").alias("above"), F.col("above").alias("top"), F.col("length").alias("up"))
+        paths = paths.join(up, "above").groupBy("commit_id", F.col("top").alias("above")).agg(F.max(F.col("length") + F.col("up")).alias("length")).checkpoint()
+    return depth
 
 
 def state_at(log: Log, order: DataFrame, attachment: str, upto: int | None = None) -> DataFrame:

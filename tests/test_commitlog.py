@@ -69,6 +69,36 @@ def test_log_is_rewritten(spark):
     assert L.verify_log(log(spark), m, out) == {"commits": 6, "opcodes": 10}
 
 
+def test_commit_ids_in_values(spark):
+    """Ids are found by type, whatever verb adds them and however the rows are dealt; a string is never
+    an id, and ids need no certain form."""
+    i = T.prim("commit_id")
+    fields = (Field("prev", T.optional(i)), Field("all", T.set_of(i)), Field("by", T.map_of(T.STRING, i)), Field("list", T.xarray(i)), Field("pair", T.tuple_of(T.STRING, i)), Field("note", T.STRING))
+    c = Catalog((DEMO,), (Concept("Demo::Order"),), (), (), (Struct(ORDER, fields),), (Attachment("Demo", "Orders", "Demo::Order", ORDER),))
+    whole = {"prev": "a", "all": ["a", "far"], "by": {"a": "b"}, "list": [], "pair": {"_0": "a", "_1": "b"}, "note": "a"}
+    ops = [("b", 0, "Document_Set", ORDERS, "1", [], json.dumps(whole), None, None), ("b", 1, "Document_Update", ORDERS, "1", field("prev"), '"a"', None, None), ("b", 2, "Document_Update", ORDERS, "1", field("note"), '"a"', None, None),
+           ("b", 3, "Set_Union", ORDERS, "1", field("all"), '["b","far"]', None, None), ("b", 4, "Map_Update", ORDERS, "1", field("by"), '{"k":"a"}', None, None), ("b", 5, "XArray_Insert", ORDERS, "1", field("list"), '"a"', "p", None),
+           ("b", 6, "Document_Update", ORDERS, "1", [*field("pair"), ("Index", None, 1, None)], '"a"', None, None), ("b", 7, "Document_Update", ORDERS, "1", [*field("pair"), ("Index", None, 0, None)], '"a"', None, None),
+           ("b", 8, "Document_Update", ORDERS, "1", field("prev"), "null", None, None)]
+    commits = spark.createDataFrame([("a", "Mutations", "base", None, None), ("b", "Mutations", "more", "a", None)], L.COMMITS)
+    m = build(c, Directives().rename_field(ORDER, "note", "text"))
+    new = lambda x: hashlib.sha1((x + m.target.digest()).encode()).hexdigest()
+    for n in (1, 5):
+        out = L.migrate_log(L.Log(commits, spark.createDataFrame(ops, L.OPCODES).repartition(n), c), m).opcodes
+        got = {r.op_index: json.loads(r.value) for r in out.collect()}
+        assert got[0] == {"prev": new("a"), "all": [new("a"), "far"], "by": {"a": new("b")}, "list": [], "pair": {"_0": "a", "_1": new("b")}, "text": "a"}
+        assert [got[k] for k in range(1, 9)] == [new("a"), "a", [new("b"), "far"], {"k": new("a")}, new("a"), new("a"), "a", None]
+
+
+def test_depths_of_a_long_history(spark):
+    """Chains of any length and merges of branches of unequal length."""
+    ids = [f"c{i}" for i in range(40)]
+    rows = [(ids[i], "Mutations", "x", ids[i - 1] if i else None, None) for i in range(40)]
+    rows += [("s", "Mutations", "x", "c3", None), ("m", "Merge", "x", "s", "c39"), ("n", "Merge", "x", "c2", "s"), ("t", "Mutations", "x", "n", None), ("w", "Mutations", "x", "gone", None)]
+    got = {r.commit_id: r.depth for r in L.linear_order(spark.createDataFrame(rows, L.COMMITS)).collect()}
+    assert got == {**{c: i for i, c in enumerate(ids)}, "s": 4, "m": 40, "n": 5, "t": 6, "w": 0}
+
+
 def test_verification_finds_drift(spark):
     from pyspark.sql import functions as F
 
@@ -99,7 +129,7 @@ def test_losses(spark):
     with pytest.raises(Exception, match="narrow"):
         L.migrate_log(log(spark), m).opcodes.count()
     report = L.dry_run_log(log(spark), m)
-    assert report["commits"] == 4 and report["unrepresentable"] == 1
+    assert report["commits"] == 4 and report["unrepresentable"] == 1 and (report["referenced_blobs"], report["stranded_blobs"]) == (2, 1)
     report = L.dry_run_log(log(spark), build(CATALOG, Directives().retype_field(ORDER, "qty", T.INT32, default(0))))
     assert report["unrepresentable"] == 0 and sum(report["diagnostics"].values()) == 1
 
