@@ -546,15 +546,109 @@ def opcode_fold(spark, sf_dir):
     return L.state_at(log, order, EVENT).select("key", F.get_json_object("value", "$.kind").alias("kind"))
 
 
-@query("""select cast(l_orderkey as varchar) as key, l_linenumber as op_index, cast(cast(l_quantity as integer) as varchar) as value from lineitem
-where (l_orderkey, l_linenumber) in (select l_orderkey, l_linenumber from lineitem group by all having count(*) = 1)""")
+_LINES = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"
+
+
+@query(f"""select cast(l_orderkey as varchar) as key, cast({_LINES} as integer) as op_index, cast(cast(l_quantity as integer) as varchar) as value from lineitem""")
 def opcode_fusion(spark, sf_dir):
-    """Each line is inserted without value and then updated; the pair becomes one insert."""
-    rows = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max("l_quantity").alias("q")).where("n = 1")
+    """Each line is inserted without value and then updated; the pair becomes one insert. Lines stand in
+    their order by all columns."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.expr(_LINES).alias("n"), F.col("l_quantity").cast("int").cast("string").alias("q"))
     key = F.col("l_orderkey").cast("string")
     op = lambda verb, at, value: F.struct(at.alias("op_index"), F.lit(verb).alias("verb"), value.alias("value"))
-    pairs = F.array(op("XArray_Insert", F.col("l_linenumber") * 2, F.lit(None).cast("string")), op("XArray_Update", F.col("l_linenumber") * 2 + 1, F.col("q").cast("int").cast("string")))
-    ops = rows.select(key.alias("commit_id"), key.alias("key"), F.col("l_linenumber").cast("string").alias("position"), F.explode(pairs).alias("o")).select(
+    pairs = F.array(op("XArray_Insert", F.col("n") * 2, F.lit(None).cast("string")), op("XArray_Update", F.col("n") * 2 + 1, F.col("q")))
+    ops = rows.select(key.alias("commit_id"), key.alias("key"), F.col("n").cast("string").alias("position"), F.explode(pairs).alias("o")).select(
         "commit_id", "key", "position", "o.*", F.lit(EVENT).alias("attachment"), F.expr(f"cast(array() as {L.PATH})").alias("path"))
     return L.fused(ops).select("key", (F.col("op_index") / 2).cast("int").alias("op_index"), "value")
 
+
+def _hex(c):
+    return F.when(c.isNotNull(), F.sha1(c.cast("string").cast("binary")))
+
+
+def _log_of(rows: DataFrame, catalog: Catalog, id_column: str, attachment: str, verb, name, value, position=None) -> L.Log:
+    """A log with a commit and an opcode for each row, at a field of the document or (null) the whole."""
+    cid, text = _hex(F.col(id_column)), F.lit(None).cast("string")
+    path = F.when(name.isNotNull(), F.array(F.struct(F.lit("Field").alias("kind"), name.alias("name"), F.lit(None).cast("int").alias("idx"), text.alias("key")))).otherwise(F.array()).cast(L.PATH)
+    ops = rows.select(cid.alias("commit_id"), F.lit(0).alias("op_index"), verb.alias("verb"), F.lit(attachment).alias("attachment"), F.col(id_column).cast("string").alias("key"), path.alias("path"), value.alias("value"), (text if position is None else position).alias("position"), text.alias("before_position"))
+    return L.Log(rows.select(cid.alias("commit_id"), F.lit("Mutations").alias("commit_type"), F.lit("x").alias("label"), text.alias("parent_id"), text.alias("target_id")), ops, catalog)
+
+
+_LINK = shop({"link": ("link_id", {"prev": T.optional(T.prim("commit_id")), "note": STR})})
+_LINK_MIGRATION = migration(_LINK, Directives().rename_field(doc("link"), "note", "text"))
+
+
+@query(f"""with e as (select *, lag(event_id) over (partition by user_id order by event_id) as before from events),
+o as (select event_id, event_type, case when event_type = 'click' then sha1('far' || event_id) else sha1(cast(before as varchar)) end as old, event_type <> 'click' and before is not null as own from e)
+select cast(event_id as varchar) as key, case when own then sha1(old || '{_LINK_MIGRATION.target.digest()}') else old end as prev, case when event_type <> 'error' then old end as text from o""")
+def log_value_remap(spark, sf_dir):
+    """Commit ids inside values: those of the log change, those of elsewhere and strings stay."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("before", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")))
+    update = F.col("event_type") == "error"
+    rows = rows.withColumn("old", F.when(F.col("event_type") == "click", _hex(F.concat(F.lit("far"), "event_id"))).otherwise(_hex(F.col("before"))))
+    value = F.when(update, F.coalesce(F.concat(F.lit('"'), "old", F.lit('"')), F.lit("null"))).otherwise(F.to_json(F.struct(F.col("old").alias("prev"), F.col("old").alias("note")), {"ignoreNullFields": "false"}))
+    log = _log_of(rows, _LINK, "event_id", "Shop::Link.link", F.when(update, "Document_Update").otherwise("Document_Set"), F.when(update, "prev"), value)
+    ops = L.migrate_log(log, _LINK_MIGRATION).opcodes
+    alone = F.col("verb") == "Document_Update"
+    prev = F.when(alone, F.when(F.col("value") != "null", F.btrim("value", F.lit('"')))).otherwise(F.get_json_object("value", "$.prev"))
+    return ops.select("key", prev.alias("prev"), F.get_json_object(F.when(~alone, F.col("value")), "$.text").alias("text"))
+
+
+_VERB_CATALOG = shop({"log": ("log_id", {"total": I64, "tags": T.set_of(STR), "attrs": T.map_of(STR, I64), "lines": T.xarray(I64), "thumb": T.optional(T.prim("blob_id"))})})
+_VERB_MIGRATION = migration(_VERB_CATALOG, Directives().rename_field(doc("log"), "tags", "labels").retype_field(doc("log"), "total", I32, "saturate").retype_field(
+    doc("log"), "attrs", T.map_of(STR, I32), "saturate").retype_field(doc("log"), "lines", T.xarray(I32), "saturate"))
+_VERB_FIELDS = (("Document_Set", None), ("Document_Update", "total"), ("Set_Union", "tags"), ("Set_Subtract", "tags"), ("Map_Union", "attrs"), ("Map_Update", "attrs"), ("Map_Subtract", "attrs"),
+                ("XArray_Insert", "lines"), ("XArray_Update", "lines"), ("XArray_Remove", "lines"))
+
+
+def _verb_log(spark, sf_dir) -> L.Log:
+    """Every verb, by event_id mod 10."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns({"n": F.col("event_id") % 10, "v": (F.col("event_id") * 1000003).cast("string")})
+    pick = lambda texts: F.element_at(F.array(*map(F.lit, texts)), F.col("n").cast("int") + 1)
+    some = F.concat(F.lit('{"k":'), "v", F.lit("}"))
+    whole = F.concat(F.lit('{"total":'), "v", F.lit(',"tags":["t"],"attrs":{"k":'), "v", F.lit('},"lines":[],"thumb":"'), _hex(F.col("event_id")), F.lit('"}'))
+    value = F.when(F.col("n") == 0, whole).when(F.col("n").isin(1, 7, 8), F.col("v")).when(F.col("n").isin(2, 3), F.lit('["t"]')).when(F.col("n").isin(4, 5), some).when(F.col("n") == 6, F.lit('["k"]'))
+    log = _log_of(rows, _VERB_CATALOG, "event_id", "Shop::Log.log", pick([v for v, _ in _VERB_FIELDS]), pick([f for _, f in _VERB_FIELDS]), value, F.when(F.col("n") >= 7, "p"))
+    return L.Log(log.commits, log.opcodes, log.catalog, rows.select(_hex(F.col("event_id")).alias("blob_id")))
+
+
+@query("""with e as (select event_id, event_id % 10 as n, cast(least(event_id * 1000003, 2147483647) as varchar) as v from events)
+select cast(event_id as varchar) as key, ['Document_Set', 'Document_Update', 'Set_Union', 'Set_Subtract', 'Map_Union', 'Map_Update', 'Map_Subtract', 'XArray_Insert', 'XArray_Update', 'XArray_Remove'][n + 1] as verb,
+  ['', 'total', 'labels', 'labels', 'attrs', 'attrs', 'attrs', 'lines', 'lines', 'lines'][n + 1] as field,
+  case when n = 0 then '{"total":' || v || ',"labels":["t"],"attrs":{"k":' || v || '},"lines":[],"thumb":"' || sha1(cast(event_id as varchar)) || '"}'
+       when n in (1, 7, 8) then v when n in (2, 3) then '["t"]' when n in (4, 5) then '{"k":' || v || '}' when n = 6 then '["k"]' end as value from e""")
+def log_verbs(spark, sf_dir):
+    """All ten verbs through renamed and narrowed fields."""
+    ops = L.migrate_log(_verb_log(spark, sf_dir), _VERB_MIGRATION).opcodes
+    return ops.select("key", "verb", F.coalesce(F.get("path", F.lit(0))["name"], F.lit("")).alias("field"), "value")
+
+
+@query("""select sha1(cast(event_id as varchar)) as blob_id from events where event_id % 10 = 0""")
+def log_blobs(spark, sf_dir):
+    """Of a log's blobs those that its values refer to."""
+    return L.migrate_log(_verb_log(spark, sf_dir), _VERB_MIGRATION).blobs
+
+
+@query("""with e as (select event_id % 10 as n, event_id * 1000003 > 2147483647 as wide from events)
+select 'opcodes' as name, count(*)::bigint as n from e union all select 'commits', count(*)::bigint from e
+union all select 'referenced_blobs', count(*) filter (n = 0) from e union all select 'stranded_blobs', count(*) filter (n <> 0) from e
+union all select 'narrowed', (count(*) filter (wide and n in (1, 4, 5, 7, 8)) + 2 * count(*) filter (wide and n = 0))::bigint from e""")
+def log_dry_run(spark, sf_dir):
+    """What a rewrite would meet, without writing."""
+    r = L.dry_run_log(_verb_log(spark, sf_dir), _VERB_MIGRATION)
+    rows = [(k, r[k]) for k in ("opcodes", "commits", "referenced_blobs", "stranded_blobs")] + [("narrowed", sum(r["diagnostics"].values()))]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
+@query("""select 'commits' as name, count(*)::bigint as n from events union all select 'opcodes', count(*)::bigint from events""")
+def log_verify(spark, sf_dir):
+    """A target that is what its source gives."""
+    log = _verb_log(spark, sf_dir)
+    r = L.verify_log(log, _VERB_MIGRATION, L.migrate_log(log, _VERB_MIGRATION))
+    return spark.createDataFrame(list(r.items()), "name string, n long")
+
+
+@query("""select sha1(cast(event_id as varchar)) as commit_id, cast(row_number() over (partition by user_id order by event_id) - 1 as integer) as depth from events""")
+def log_depth(spark, sf_dir):
+    """The place of each commit in the history: a user's events are a chain."""
+    return L.linear_order(_log(spark, sf_dir).commits)
