@@ -491,6 +491,29 @@ def test_quality(spark, none):
     assert {x.score for x in quality.score_documents(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_discriminant_restated():
+    """Log-odds against log-densities written out with determinants and inverses."""
+    r, d = np.random.default_rng(6), len(quality.FEATURES)
+    x = [r.normal(size=(n, d)) @ r.normal(size=(d, d)) + r.normal(size=d) for n in (50, 90)]
+    one = [np.concatenate((np.ones((len(y), 1)), y), axis=1) for y in x]
+    model, at = quality.fit({k: y.T @ y for k, y in enumerate(one)}), r.normal(size=(20, d))
+    pooled = sum((y - y.mean(0)).T @ (y - y.mean(0)) for y in x) / (140 - 2)
+    logs = []
+    for y in x:
+        c = (1 - quality.TO_POOLED) * np.cov(y.T) + quality.TO_POOLED * pooled
+        c = (1 - quality.TO_SPHERE) * c + quality.TO_SPHERE * np.diag(np.diag(pooled))
+        z = at - y.mean(0)
+        logs.append(np.log((len(y) + 1) / 142) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z))
+    assert np.allclose(model.log_odds(at), logs[1] - logs[0])
+
+
+def test_classifier_and_decontamination_of_empty_tables(spark, none):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "some item of a benchmark here")], "item_id long, text string")
+    for out in (quality.accepted(none, labels), decontam.clean(none, items), simhash.deduplicate(none)):
+        assert out.columns == none.columns and out.count() == 0
+
+
 def test_training_ignores_held_out_labels(spark):
     """Wrong labels on the held-out fold change no score."""
     import zlib
