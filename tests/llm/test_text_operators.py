@@ -1,6 +1,7 @@
 """Text operators against brute force, on a table with every awkward kind of row."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -565,6 +566,24 @@ def tagger():
     return {}  # as in production; trained once
 
 
+def test_crf_against_all_paths():
+    """Likelihood and best path of short windows against every sequence of tags."""
+    t, r = pii.Tagger(5), np.random.default_rng(3)
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+    t.p["trans"] += r.normal(size=t.p["trans"].shape)
+    ids = np.stack([pii.char_ids(x) for x in ("a@b1", "+4 9", "ab.c")])
+    e, trans = t.emissions(ids), t.p["trans"] + pii.allowed()
+    paths = np.array(list(itertools.product(range(pii.TAGS), repeat=4)))
+    score = np.stack([sum(e[k, w, paths[:, k]] for k in range(4)) + sum(trans[paths[:, k], paths[:, k + 1]] for k in range(3)) for w in range(3)])
+    tags, lead = t.decode(ids)
+    assert np.array_equal(tags, paths[score.argmax(axis=1)])
+    assert np.allclose(lead, [[e[k, w, tags[w, k]] - e[k, w, 0] for k in range(4)] for w in range(3)])
+    gold = np.array([[0, 1, 2, 0], [3, 4, 4, 0], [0, 0, 5, 6]])
+    own = [score[w][(paths == g).all(axis=1)][0] for w, g in enumerate(gold)]
+    top = score.max(axis=1)
+    assert math.isclose(t.loss(ids, gold)[0], np.mean(top + np.log(np.exp(score - top[:, None]).sum(axis=1)) - own), rel_tol=1e-9)
+
+
 def test_gradients():
     t = pii.Tagger(2)
     t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
