@@ -98,7 +98,8 @@ def soak(args: argparse.Namespace) -> int:
     target = Store.open(spark, args.target)
     m = build(store.catalog, Directives())
     commitstore.verify(store, m, target) if store.kind == "commits" else M.verify(store, m, target)
-    print({**out, "migrate_s": round(moved - began, 2), "verify_s": round(time.perf_counter() - moved, 2)})
+    rate = {"mb_per_s": round(out["bytes"] / 1e6 / (moved - began), 2)} if "bytes" in out else {}
+    print({**out, "migrate_s": round(moved - began, 2), "verify_s": round(time.perf_counter() - moved, 2), **rate})
     return 0
 
 

@@ -33,6 +33,8 @@ class Progress:
     attachment_count: int
     documents: int = 0
     blobs: int = 0
+    bytes_copied: int = 0
+    bytes_total: int = 0
 
 
 @dataclass
@@ -150,12 +152,24 @@ def migrate(source: Store, m: Migration, target_path: str, on_progress: Callable
         # Blobs are copied on reference, each once; chunk bytes never pass through the driver.
         blobs = source.blobs.dropDuplicates(["blob_id"]).join(used, "blob_id", "left_semi")
         w.write("blobs", blobs)
-        w.write("blob_chunks", source.chunks.dropDuplicates(["blob_id", "chunk_no"]).join(used, "blob_id", "left_semi"))
-        copied = spark.read.parquet(*w.tables["blobs"]).count() if w.tables["blobs"] else 0
-        if on_progress and todo:
-            on_progress(Progress(todo[-1].source.id, len(todo), len(todo), total, copied))
+        copied, size = 0, 0
+        if w.tables["blobs"]:
+            copied, size = spark.read.parquet(*w.tables["blobs"]).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        last = (todo[-1].source.id, len(todo), len(todo), total) if todo else None
+        if on_progress and last:
+            on_progress(Progress(*last, 0, 0, size))
+        w.write("blob_chunks", _distinct_chunks(source.chunks).join(used, "blob_id", "left_semi"))
+        if on_progress and last:
+            on_progress(Progress(*last, copied, size, size))
     before = sum(source.attachment(p.source.id).count() for p in todo)
-    return {"documents": total, "dropped": before - total, "blobs": copied}
+    return {"documents": total, "dropped": before - total, "blobs": copied, "bytes": size}
+
+
+def _distinct_chunks(chunks: DataFrame) -> DataFrame:
+    """Each chunk once. Only chunk keys are shuffled to see whether any is there twice; the bytes are
+    only if one is."""
+    again = chunks.groupBy("blob_id", "chunk_no").count().where("count > 1")
+    return chunks if again.isEmpty() else chunks.dropDuplicates(["blob_id", "chunk_no"])
 
 
 def canonical(t: Type, catalog: Catalog, c: Column) -> Column:

@@ -95,6 +95,48 @@ def build(source: Catalog, d: Directives) -> Migration:
     return out
 
 
+def build_for(source: Catalog, target: Catalog, d: Directives) -> Migration:
+    """The migration to a catalog that was written elsewhere. Every definition that the script gives must
+    stand in it under its name and with the same shape: fields by name, type and order, cases by name and
+    order, the concept and document of attachments. It may hold more definitions, and its docs,
+    defaults and namespace UUIDs are its own."""
+    m = build(source, d)
+    if problems := _shapes(m.target, target):
+        raise Refused(problems)
+    return replace(m, target=target)
+
+
+def _shapes(expected: Catalog, given: Catalog) -> list[str]:
+    """What the given catalog lacks or has in another shape."""
+    out: list[str] = []
+
+    def members(kind: str, owner: str, want: list[str], have: list[str]) -> None:
+        if len(want) != len(have):
+            out.append(f"[shape] {owner}: {len(want)} {kind}s expected, the target has {len(have)}")
+        else:
+            out.extend(f"[shape] {kind} #{i} of {owner}: {w} expected, the target has {h}" for i, (w, h) in enumerate(zip(want, have, strict=True)) if w != h)
+
+    for x in expected.types():
+        y = given.definition(x.name)
+        if y is None or type(y) is not type(x):
+            out.append(f"[no-target] {x.name}")
+        elif isinstance(x, Struct):
+            members("field", x.name, [f"{f.name}: {f.type}" for f in x.fields], [f"{f.name}: {f.type}" for f in y.fields])
+        elif isinstance(x, Enum):
+            members("case", x.name, x.names, y.names)
+        elif isinstance(x, Concept) and x.parent != y.parent:
+            out.append(f"[shape] parent of {x.name}: {x.parent or 'none'} expected, the target has {y.parent or 'none'}")
+        elif isinstance(x, Club):
+            members("member", x.name, sorted(x.members), sorted(y.members))
+    for a in expected.attachments:
+        b = next((b for b in given.attachments if b.id == a.id), None)
+        if b is None:
+            out.append(f"[no-target] {a.id}")
+        elif (a.concept, a.document) != (b.concept, b.document):
+            out.append(f"[shape] {a.id}: {a.concept} with {a.document} expected, the target has {b.concept} with {b.document}")
+    return out
+
+
 def _moved(a: Attachment, d: Directives) -> bool:
     return a.id in d.moved_attachments or a.name in d.moved_attachments
 

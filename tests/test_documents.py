@@ -1,5 +1,7 @@
 """Edit scripts, checks, hooks, stores, dry runs and verification."""
 
+from dataclasses import replace
+
 import pytest
 from helpers import DEMO, DOC, catalog, frame, rewritten
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from driftloom.catalog.catalog import Attachment, Case, Catalog, Club, Concept,
 from driftloom.functions.nodes import Refused
 from driftloom.migrate import VerificationError, dry_run, migrate, run, verify
 from driftloom.operators.diagnostics import format_report
-from driftloom.operators.projection import Unless
-from driftloom.plans.build import build
+from driftloom.operators.projection import Compiler, Unless
+from driftloom.plans.build import build, build_for
 from driftloom.plans.directives import Directives, default, map_case
 from driftloom.plans.report import format_plan, plan
 from driftloom.sources.store import Store, create
@@ -231,7 +233,8 @@ def test_blobs_are_copied_on_reference(spark, tmp_path):
     store = blob_store(spark, f"file://{tmp_path}/s")
     seen = []
     m = build(store.catalog, Directives().drop_field(DOC, "old").retype_field(DOC, "n", T.INT32, "drop-record").accept_document_drops())
-    assert migrate(store, m, f"file://{tmp_path}/t", seen.append) == {"documents": 2, "dropped": 1, "blobs": 3}
+    assert migrate(store, m, f"file://{tmp_path}/t", seen.append) == {"documents": 2, "dropped": 1, "blobs": 3, "bytes": 6}
+    assert [(x.blobs, x.bytes_copied, x.bytes_total) for x in seen[-2:]] == [(0, 0, 6), (3, 6, 6)]
     t = Store.open(spark, f"file://{tmp_path}/t")
     assert {r.blob_id for r in t.blobs.collect()} == {"b1", "b3", "b4"} and t.chunks.count() == 6 and seen[-1].documents == 2
     assert verify(store, m, t) == {"documents": 2, "blobs": 3}
@@ -295,6 +298,29 @@ def test_plan():
     assert format_plan(plan(c, Directives())) == "nothing changes"
 
 
+def test_target_written_elsewhere(spark):
+    c = catalog({"a": T.INT32, "m": T.ref("Demo::Mode")}, [MODE], attachments=[Attachment("Demo", "More", "Demo::C", "Demo::Inner")], structs=[INNER])
+    d = Directives().rename_field(DOC, "a", "b").rename_type("Demo::Mode", "State").rename_case("Demo::Mode", "Old", "Past")
+    good = build(c, d).target
+    extra = replace(good, structs=(*good.structs, Struct("Demo::Extra", (Field("x", T.INT32),))))
+    p = Compiler(build_for(c, extra, d)).projection(c.attachment("Docs"))
+    assert p.select(frame(spark, c, [("k", 1, "Old")])).collect()[0].asDict() == {"key": "k", "b": 1, "m": "Past"}
+
+    def refused(target: Catalog, message: str, script: Directives = d):
+        with pytest.raises(Refused) as e:
+            build_for(c, target, script)
+        assert any(message in x for x in e.value.problems), e.value.problems
+
+    change = lambda **kw: replace(good, structs=tuple(replace(s, fields=kw["fields"](s.fields)) if s.name == DOC else s for s in good.structs))
+    refused(change(fields=lambda f: f[:1]), f"{DOC}: 2 fields expected, the target has 1")
+    refused(change(fields=lambda f: f[::-1]), f"field #0 of {DOC}: b: int32 expected")
+    refused(change(fields=lambda f: (replace(f[0], type=T.INT64), f[1])), "the target has b: int64")
+    refused(replace(good, enums=(replace(good.enums[0], cases=good.enums[0].cases[::-1]),)), "case #0 of Demo::State: Past expected")
+    refused(replace(good, enums=(replace(good.enums[0], cases=good.enums[0].cases[:2]),)), "3 cases expected")
+    refused(replace(good, attachments=good.attachments[1:]), f"[no-target] {good.attachments[0].id}")
+    refused(good, "[no-target] Demo::Mode", Directives())
+
+
 def test_new_namespace_uuid():
     n = Namespace("X", "u")
     assert Catalog((n,)).digest() == Catalog((Namespace("Y", "u"),)).digest()
