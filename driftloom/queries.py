@@ -6,6 +6,8 @@ over the whole tables. Results are flat: arrays and maps are exploded.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,13 +15,15 @@ from pyspark.sql import functions as F
 
 from driftloom.catalog import types as T
 from driftloom.catalog.catalog import Attachment, Case, Catalog, Concept, Enum, Field, Namespace, Struct
-from driftloom.migrate import differences, referenced_blobs
+from driftloom.functions.nodes import Refused
+from driftloom.migrate import compiled, differences, dry_run, migrate, referenced_blobs, verify
 from driftloom.operators import commitlog as L
 from driftloom.operators.diagnostics import counts
 from driftloom.operators.projection import Compiler, Unless
-from driftloom.plans.build import Migration, build
+from driftloom.plans.build import Migration, build, build_for, gate_attachments, gate_documents
 from driftloom.plans.directives import Directives, default, fit, map_case
 from driftloom.plans.report import plan
+from driftloom.sources.store import Store, create
 
 SHOP = Namespace("Shop", "11111111-1111-1111-1111-111111111111")
 I16, I32, I64, DBL, STR, FLT = T.prim("int16"), T.INT32, T.INT64, T.DOUBLE, T.STRING, T.FLOAT
@@ -398,6 +402,186 @@ def aggregate_hook(spark, sf_dir):
     return project(spark, sf_dir, "customer", d, of("customer", "orders")).select("c_custkey", "n_orders")
 
 
+# --- Names, cases and whole definitions ----------------------------------------------------------
+
+CRM = "22222222-2222-2222-2222-222222222222"
+
+
+def _buyers(spark, sf_dir, d: Directives) -> DataFrame:
+    """Orders with a key of a customer, whose type is what the script makes of it."""
+    c = shop({"orders": ("o_orderkey", {"buyer": T.key("Shop::Customer")}), "customer": TABLES["customer"]})
+    name = F.lit("Shop::Customer")
+    key = F.struct(F.lit("concept").alias("flavour"), name.alias("type"), name.alias("concept"), F.col("o_custkey").cast("string").alias("instance_id"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", key.alias("buyer"))
+    return project(spark, sf_dir, "orders", d, c, rows).select("o_orderkey", "buyer.type", "buyer.concept", "buyer.instance_id")
+
+
+@query("""select o_orderkey, 'Crm::Client' as type, 'Crm::Client' as concept, cast(o_custkey as varchar) as instance_id from orders""")
+def move_and_rename_type(spark, sf_dir):
+    return _buyers(spark, sf_dir, Directives().rename_type("Shop::Customer", "Client").move_type("Shop::Customer", "Crm").remap_namespace("Crm", CRM))
+
+
+@query("""select o_orderkey, 'Store::Customer' as type, 'Store::Customer' as concept, cast(o_custkey as varchar) as instance_id from orders""")
+def rename_namespace(spark, sf_dir):
+    return _buyers(spark, sf_dir, Directives().rename_namespace("Shop", "Store"))
+
+
+@query("""select a as attachment, cast(k as varchar) as key, n as name from (
+ select 'Crm::Customer.clients' as a, c_custkey as k, c_name as n from customer union all select 'Shop::Nation.countries', n_nationkey, n_name from nation)""")
+def move_and_rename_attachment(spark, sf_dir):
+    """Tables under the identifiers of the target."""
+    d = Directives().rename_attachment("customer", "clients").move_attachment("customer", "Crm").remap_namespace("Crm", CRM)
+    d.rename_attachment("Shop::Nation.nation", "countries")
+    m = migration(of("customer", "nation"), d)
+    parts = []
+    for table, key, name in (("customer", "c_custkey", "c_name"), ("nation", "n_nationkey", "n_name")):
+        p = Compiler(m).projection(m.source.attachment(table))
+        parts.append(p.select(load(spark, sf_dir, table)).select(F.lit(p.target.id).alias("attachment"), F.col(key).cast("string").alias("key"), F.col(name).alias("name")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("""select 'same' as name, true as value union all select 'renamed namespace', true union all select 'remapped namespace', false union all select 'docs', true
+union all select 'renamed field', false union all select 'reordered cases', false""")
+def fingerprints_kept(spark, sf_dir):
+    """Which edits leave the fingerprints of a catalog as they are."""
+    c = of("orders")
+    edits = {"same": Directives(), "renamed namespace": Directives().rename_namespace("Shop", "Store"), "remapped namespace": Directives().remap_namespace("Shop", CRM),
+             "docs": Directives().document_type(doc("orders"), "An order.").document_field(doc("orders"), "o_custkey", "Who buys.").document_case("Shop::Status", "F", "Done.").document_attachment("orders", "All."),
+             "renamed field": Directives().rename_field(doc("orders"), "o_custkey", "buyer"), "reordered cases": Directives().reorder_cases("Shop::Status", ["P", "O", "F"])}
+    return spark.createDataFrame([(k, migration(c, d).target.digest() == c.digest()) for k, d in edits.items()], "name string, value boolean")
+
+
+@query("""select o_orderkey, o_orderstatus, cast(case o_orderstatus when 'P' then 1 when 'O' then 2 else 3 end as integer) as place from orders""")
+def add_and_reorder_cases(spark, sf_dir):
+    """Values keep their case by name wherever it stands in the target."""
+    d = Directives().add_case("Shop::Status", "X").reorder_cases("Shop::Status", ["X", "P", "O", "F"])
+    names = migration(of("orders"), d).target.enum("Shop::Status").names
+    places = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))
+    return project(spark, sf_dir, "orders", d).select("o_orderkey", "o_orderstatus", places[F.col("o_orderstatus")].alias("place"))
+
+
+@query("""select 'Shop::Nation.nation' as attachment, cast(n_nationkey as varchar) as key from nation""")
+def drop_type_and_attachment(spark, sf_dir):
+    """A dropped attachment's rows go with the types that only it used."""
+    d = Directives().drop_attachment("customer").drop_type(doc("customer")).drop_type("Shop::Customer")
+    m, out = migration(of("customer", "nation"), d), None
+    for p in compiled(m):
+        rows = p.select(load(spark, sf_dir, p.source.name)).select(F.lit(p.target.id).alias("attachment"), F.col(p.target.key_column).cast("string").alias("key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""select c_custkey, column_name as field, comment from customer, (values ('c_name', 'Full name.'), ('c_nationkey', ''), ('c_acctbal', 'In euros.'), ('c_mktsegment', '')) t(column_name, comment)""")
+def documented(spark, sf_dir):
+    """Docs of fields are comments of columns."""
+    d = Directives().document_field(doc("customer"), "c_name", "Full name.").document_field(doc("customer"), "c_acctbal", "In euros.")
+    m = migration(of("customer"), d)
+    comments = [(f.name, f.metadata.get("comment", "")) for f in m.target.table_schema(m.target.attachment("customer")).fields[1:]]
+    return project(spark, sf_dir, "customer", d).select("c_custkey", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.lit(c).alias("comment")) for n, c in comments))).alias("x")).select("c_custkey", "x.*")
+
+
+_REFUSALS: dict[str, tuple[str, Callable[[], object]]] = {
+    "unknown field": ("unknown-target", lambda: build(of("orders"), Directives().rename_field(doc("orders"), "nothing", "x"))),
+    "unknown case": ("unknown-target", lambda: build(of("orders"), Directives().rename_case("Shop::Status", "X", "Y"))),
+    "unknown namespace": ("unknown-target", lambda: build(of("orders"), Directives().rename_namespace("Other", "X"))),
+    "order is no permutation": ("order", lambda: build(of("orders"), Directives().reorder_fields(doc("orders"), ["o_custkey"]))),
+    "dropped type in use": ("dangling", lambda: build(of("orders"), Directives().drop_type("Shop::Status"))),
+    "names collide": ("collision", lambda: build(of("orders", "customer"), Directives().rename_type(doc("orders"), "CustomerDoc"))),
+    "loss without policy": ("policy", lambda: build(of("orders"), Directives().retype_field(doc("orders"), "o_totalprice", I16))),
+    "case without policy": ("policy", lambda: build(of("orders"), Directives().remove_case("Shop::Status", "P"))),
+    "case to an unknown case": ("map-case", lambda: build(of("orders"), Directives().remove_case("Shop::Status", "P", map_case("X")))),
+    "no such conversion": ("composite-retype", lambda: build(of("orders"), Directives().retype_field(doc("orders"), "o_custkey", T.vector(I64)))),
+    "resize of a scalar": ("dimension", lambda: build(of("orders"), Directives().resize_vec_field(doc("orders"), "o_custkey", 3))),
+    "default of a named type": ("default", lambda: build(of("orders"), Directives().add_field(doc("orders"), "x", T.ref("Shop::Status"), "F"))),
+    "dropped and added": ("ambiguous", lambda: build(of("orders"), Directives().drop_field(doc("orders"), "o_custkey").add_field(doc("orders"), "o_custkey", I64, 0))),
+    "drop-record in a container": ("drop-record", lambda: build(shop({"orders": ("o_orderkey", {"all": T.vector(T.ref("Shop::Status"))})}), Directives().remove_case("Shop::Status", "P", "drop-record"))),
+    "record drops not accepted": ("acknowledge", lambda: gate_documents(build(of("orders"), Directives().remove_case("Shop::Status", "P", "drop-record")))),
+    "attachment drops not accepted": ("acknowledge", lambda: gate_attachments(build(of("orders", "customer"), Directives().drop_attachment("customer")))),
+    "target lacks a type": ("no-target", lambda: build_for(of("orders"), of("customer"), Directives())),
+    "target of another shape": ("shape", lambda: build_for(of("orders"), build(of("orders"), Directives().drop_field(doc("orders"), "o_custkey")).target, Directives())),
+    "record drops in a log": ("drop-record", lambda: L.migrate_log(L.Log(None, None, of("orders")), build(of("orders"), Directives().remove_case("Shop::Status", "P", "drop-record")))),
+}
+
+
+@query(" union all ".join(f"select '{name}' as script, '{code}' as code" for name, (code, _) in _REFUSALS.items()))
+def refusals(spark, sf_dir):
+    """What each faulty script is refused for."""
+    out = []
+    for name, (_, attempt) in _REFUSALS.items():
+        try:
+            attempt()
+            out.append((name, "accepted"))
+        except Refused as e:
+            text = e.problems[0]
+            out.append((name, text[text.index("[") + 1 : text.index("]")]))
+    return spark.createDataFrame(out, "script string, code string")
+
+
+@query("""select o_orderkey, cast(o_totalprice as float) as o_totalprice from orders""")
+def narrow_to_float(spark, sf_dir):
+    d = Directives().retype_field(doc("orders"), "o_totalprice", FLT, "saturate")
+    return project(spark, sf_dir, "orders", d).select("o_orderkey", "o_totalprice")
+
+
+# --- Stores ---------------------------------------------------------------------------------------
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder for stores, which the cluster shares; local sessions without one use their own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='driftloom-')).rstrip('/')}/stores-{uuid.uuid4().hex}"
+
+
+def _store(spark, sf_dir) -> tuple[Store, Migration, str]:
+    """Orders, and documents that hold the English texts as blobs of one chunk."""
+    root, c = _scratch(spark), shop({"orders": TABLES["orders"], "documents": ("doc_id", {"blobs": T.vector(T.prim("blob_id"))})})
+    blob = load(spark, sf_dir, "documents").where("text is not null").select(F.sha1(F.col("text").cast("binary")).alias("blob_id"), F.col("text").cast("binary").alias("bytes")).dropDuplicates(["blob_id"])
+    tables = {"Shop::Orders.orders": load(spark, sf_dir, "orders"), "Shop::Documents.documents": _blob_rows(spark, sf_dir)}
+    store = create(spark, f"{root}/source", c, tables, blob.select("blob_id", F.lit("raw").alias("layout"), F.octet_length("bytes").cast("long").alias("size")),
+                   blob.select("blob_id", F.lit(0).alias("chunk_no"), "bytes"))
+    d = Directives().remove_case("Shop::Status", "P", "drop-record").retype_field(doc("orders"), "o_totalprice", I16, "saturate").rename_field(doc("orders"), "o_custkey", "buyer")
+    return store, migration(c, d), f"{root}/target"
+
+
+_TEXTS = "with b as (select text, bool_or(lang = 'en') as used from documents where text is not null group by text)"
+
+
+@query(f"""{_TEXTS} select 'documents' as name, ((select count(*) from orders where o_orderstatus <> 'P') + (select count(*) from documents))::bigint as n
+union all select 'dropped', count(*)::bigint from orders where o_orderstatus = 'P' union all select 'blobs', count(*) filter (used)::bigint from b
+union all select 'bytes', (sum(strlen(text)) filter (used))::bigint from b
+union all select 'verified documents', ((select count(*) from orders where o_orderstatus <> 'P') + (select count(*) from documents))::bigint
+union all select 'verified blobs', count(*) filter (used)::bigint from b""")
+def store_migrate_verify(spark, sf_dir):
+    """A store is migrated, opened again and verified."""
+    store, m, path = _store(spark, sf_dir)
+    done = migrate(store, m, path)
+    checked = verify(store, m, Store.open(spark, path))
+    return spark.createDataFrame([*done.items(), *((f"verified {k}", n) for k, n in checked.items())], "name string, n long")
+
+
+@query("""select o_orderkey, o_custkey as buyer, o_orderstatus, cast(greatest(-32768, least(32767, trunc(o_totalprice))) as smallint) as o_totalprice from orders where o_orderstatus <> 'P'""")
+def store_scan(spark, sf_dir):
+    """The migrated table as the target store gives it."""
+    store, m, path = _store(spark, sf_dir)
+    migrate(store, m, path)
+    rows = Store.open(spark, path).attachment("Shop::Orders.orders")
+    return rows.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "buyer", "o_orderstatus", "o_totalprice")
+
+
+@query(f"""{_TEXTS} select 'documents' as name, ((select count(*) from orders where o_orderstatus <> 'P') + (select count(*) from documents))::bigint as n
+union all select 'dropped', count(*)::bigint from orders where o_orderstatus = 'P' union all select 'referenced_blobs', count(*) filter (used)::bigint from b
+union all select 'orphans', count(*) filter (not used)::bigint from b
+union all select 'saturate', (select count(*) from orders where o_orderstatus <> 'P' and trunc(o_totalprice) not between -32768 and 32767)::bigint
+union all select 'drop-record', (select count(*) from orders where o_orderstatus = 'P')::bigint""")
+def store_dry_run(spark, sf_dir):
+    """What a migration would do, without writing."""
+    store, m, _ = _store(spark, sf_dir)
+    r = dry_run(store, m, 0)
+    rows = [(k, getattr(r, k)) for k in ("documents", "dropped", "referenced_blobs", "orphans")]
+    return spark.createDataFrame(rows + [(f.policy, f.count) for f in r.findings if f.policy != "report"], "name string, n long")
+
+
 # --- Keys and dynamic values ----------------------------------------------------------------------
 
 @query("""select o_orderkey, 'concept' as flavour, 'Shop::Client' as type, 'Shop::Client' as concept, cast(o_custkey as varchar) as instance_id from orders""")
