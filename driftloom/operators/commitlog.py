@@ -415,12 +415,42 @@ def linear_order(commits: DataFrame) -> DataFrame:
 
 
 def state_at(log: Log, order: DataFrame, attachment: str, upto: int | None = None) -> DataFrame:
-    """(key, value): the documents of an attachment after all whole-document writes up to a depth, the
-    last write winning (by depth, commit id, position). Commits that a later Disable switches off, and
-    no later Enable on again, do not count."""
+    """(key, value): the documents of an attachment up to a depth. Each field holds what was written last
+    (by depth, commit id, position) to it, or to the document or structure around it; a key that no
+    Document_Set writes has no document. Commits that a later Disable switches off, and no later Enable on
+    again, do not count; opcodes of the container verbs do not act here. Of writes at the same depth, which are
+    concurrent, those of the greatest commit id count; ids change in a migration, so to compare states give
+    an ``order`` that tells such commits apart."""
     switches = log.commits.where("commit_type in ('Enable', 'Disable')").join(order, "commit_id")
     if upto is not None:
         switches, order = switches.where(F.col("depth") <= upto), order.where(F.col("depth") <= upto)
     off = switches.groupBy("target_id").agg(F.max_by("commit_type", F.struct("depth", "commit_id")).alias("last")).where("last = 'Disable'").select(F.col("target_id").alias("commit_id"))
-    sets = log.opcodes.where((F.col("attachment") == attachment) & (F.col("verb") == "Document_Set")).join(off, "commit_id", "left_anti").join(order, "commit_id")
-    return sets.groupBy("key").agg(F.max_by("value", F.struct("depth", "commit_id", "op_index")).alias("value"))
+    writes = log.opcodes.where((F.col("attachment") == attachment) & F.col("verb").isin("Document_Set", "Document_Update")).join(off, "commit_id", "left_anti").join(order, "commit_id")
+    values, root = _latest(log.catalog, Type("ref", name=log.catalog.attachment(attachment).document))
+    writes = writes.select("key", F.col("verb") == "Document_Set", F.struct("depth", "commit_id", "op_index").alias("_order"), steps_column().alias("_steps"), "value").toDF("key", "_set", "_order", "_steps", "value")
+    writes = writes.select("key", "_set", "_order", "_steps", *(c.alias(n) for n, c in values.items()))
+    return writes.groupBy("key").agg(F.max("_set").alias("_set"), root.alias("_root")).where("_set").select("key", _Boxed.write(F.col("_root")).alias("value"))
+
+
+def _latest(catalog: Catalog, document: Type) -> tuple[dict[str, Column], Column]:
+    """Parsed values by column name, one for each place that opcodes can write, and the aggregate that
+    builds the document from the last write to each field."""
+    values: dict[str, Column] = {}
+
+    def place(names: tuple[str, ...], t: Type) -> tuple[Column, Column]:
+        here, column = F.col("_steps") == "/".join(f"Field={n}" for n in names), f"_v{len(values)}"
+        values[column] = F.when(here, _Boxed.read(F.col("value"), catalog.spark_type(t)))
+        return here, F.col(column)
+
+    def built(names: tuple[str, ...], t: Type, around: list[tuple[Column, Column]]) -> Column:
+        around = [*around, place(names, t)]
+        if s := catalog.struct(t.name) if t.kind == "ref" else None:
+            return F.struct(*(built((*names, f.name), f.type, [(here, v[f.name]) for here, v in around]).alias(f.name) for f in s.fields))
+        written = value = None
+        for here, v in around:
+            written = here if written is None else written | here
+            value = F.when(here, v) if value is None else value.when(here, v)
+        return F.max_by(value, F.when(written, F.col("_order")))
+
+    root = built((), document, [])
+    return values, root

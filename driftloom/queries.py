@@ -720,14 +720,15 @@ def opcode_rewrite(spark, sf_dir):
     return ops.select("commit_id", "key", "verb", F.when(F.col("verb") == "Document_Set", F.get_json_object("value", "$.label")).alias("label"), amount.cast("int").alias("amount"))
 
 
-@query("""with e as (select *, row_number() over (partition by user_id order by event_id) as n from events)
-select cast(user_id as varchar) as key, arg_max(event_type, struct_pack(n := n, c := sha1(cast(event_id as varchar)))) as kind from e where event_type not in ('view', 'error') group by user_id""")
+@query("""with e as (select *, row_number() over (partition by user_id order by event_id) as n from events where event_type <> 'view')
+select cast(user_id as varchar) as key, arg_max(event_type, n) filter (event_type <> 'error') as kind, arg_max(value, n) as amount from e group by user_id having count(*) filter (event_type <> 'error') > 0""")
 def opcode_fold(spark, sf_dir):
-    """The last whole write of each key; a user's events form a chain, so depth is its rank."""
+    """The document of each key: whole writes and updates of the amount, the last one of each field; a
+    user's events form a chain, so depth is its rank."""
     log = _log(spark, sf_dir)
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     order = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.sha1(F.col("event_id").cast("string").cast("binary")).alias("commit_id"), rank.alias("depth"))
-    return L.state_at(log, order, EVENT).select("key", F.get_json_object("value", "$.kind").alias("kind"))
+    return L.state_at(log, order, EVENT).select("key", F.get_json_object("value", "$.kind").alias("kind"), F.get_json_object("value", "$.amount").cast("double").alias("amount"))
 
 
 _LINES = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"

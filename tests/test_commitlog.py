@@ -149,12 +149,30 @@ def test_states_commute(spark):
     order = L.linear_order(source.commits)
     assert {r.commit_id: r.depth for r in order.collect()} == {ID["a"]: 0, ID["b"]: 1, ID["c"]: 1, ID["d"]: 2, ID["e"]: 3, ID["f"]: 0}
     order2 = L.linear_order(target.commits)
-    for upto, qty in ((0, 2**31 - 1), (2, 3), (3, 2**31 - 1)):  # the last switches the right branch off
+    # The left branch updates what the base sets; the right one sets the whole, at the same depth and under a
+    # smaller id, until it is switched off.
+    for upto, qty, blob in ((0, 2**31 - 1, "b1"), (2, 7, "b2"), (3, 7, "b1")):
         rows = {r.key: json.loads(r.value) for r in L.state_at(target, order2, ORDERS, upto).collect()}
-        assert rows["1"]["qty"] == qty
+        assert rows["1"]["qty"] == qty and rows["1"]["blob"] == blob
         assert {r.key for r in L.state_at(source, order, ORDERS, upto).collect()} == set(rows)
 
 
+def test_state_takes_the_last_write_of_each_field(spark):
+    inner = Struct("Demo::Inner", (Field("x", T.INT32), Field("y", T.optional(T.STRING))))
+    s = Struct(ORDER, (Field("a", T.optional(T.INT32)), Field("in", T.ref("Demo::Inner")), Field("m", T.map_of(T.STRING, T.INT32))))
+    c = Catalog((DEMO,), (Concept("Demo::Order"),), (), (), (inner, s), (Attachment("Demo", "Orders", "Demo::Order", ORDER),))
+    whole = lambda a, x: json.dumps({"a": a, "in": {"x": x, "y": "w"}, "m": {"k": x}})
+    deep = [*field("in"), *field("x")]
+    ops = [("1", "Document_Update", field("a"), "7"), ("1", "Document_Set", [], whole(1, 1)), ("1", "Document_Update", field("a"), "null"), ("1", "Document_Update", deep, "5"),
+           ("1", "Document_Update", field("m"), '{"z":9}'), ("2", "Document_Set", [], whole(1, 1)), ("2", "Document_Update", deep, "5"), ("2", "Document_Update", field("in"), '{"x":6,"y":null}'),
+           ("3", "Document_Update", field("a"), "3"), ("4", "Document_Update", deep, "8"), ("4", "Document_Set", [], whole(2, 2))]
+    rows = [(ID["a"], i, verb, ORDERS, key, path, value, None, None) for i, (key, verb, path, value) in enumerate(ops)]
+    commits = spark.createDataFrame([(ID["a"], "Mutations", "base", None, None)], L.COMMITS)
+    source = L.Log(commits, spark.createDataFrame(rows, L.OPCODES), c)
+    got = {r.key: json.loads(r.value) for r in L.state_at(source, L.linear_order(commits), ORDERS).collect()}
+    assert got == {"1": {"a": None, "in": {"x": 5, "y": "w"}, "m": {"z": 9}}, "2": {"a": 1, "in": {"x": 6, "y": None}, "m": {"k": 1}}, "4": {"a": 2, "in": {"x": 2, "y": "w"}, "m": {"k": 2}}}
+
+
 def test_blobs_of_every_adding_verb_are_kept(spark):
     b = T.prim("blob_id")
     fields = (Field("one", T.optional(b)), Field("all", T.set_of(b)), Field("by", T.map_of(T.STRING, b)), Field("list", T.xarray(b)))
