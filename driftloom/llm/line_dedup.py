@@ -7,7 +7,8 @@ settled keys, which need no more counting, and adds a run of the rest at level 0
 holds ``fan_out`` runs they are merged into one run of the next level; sums that reach the
 threshold move to the settled keys. So a key is rewritten once for each level, not each batch.
 
-Built-in DataFrame functions only: no line text is shuffled, only hashes and line numbers.
+Built-in DataFrame functions only. The runs, counts and joins of lines shuffle hashes and line numbers, never
+their text; the last join brings the numbers of the dropped lines to the documents and shuffles whole texts once.
 """
 
 from __future__ import annotations
