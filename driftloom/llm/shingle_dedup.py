@@ -1,18 +1,26 @@
-"""Near-duplicates by five-word shingles: documents whose sets have a Jaccard similarity of 0.8 or more.
-
-Words are those of ``simhash`` (white space, A-Z lower-cased). Documents with the same set of shingles
-are one vertex. A MinHash of BANDS bands of ROWS rows brings candidates together: at similarity 0.8 a
-pair shares no band with probability (1 - 0.8**4)**26, about one in a million, above it more seldom.
-A sketch holds four bits of each of the 104 minima; a pair at 0.8 or more agrees in fewer than 62 of
-them about once in a million times, so only pairs that agree in as many are taken up.
-
-A bucket gives a spanning forest of its candidate pairs, those that agree most first, and each
-pair is verified by the exact similarity of the two sets. A bucket whose pairs all hold is connected and
-done. In the others the texts come together and every candidate pair that is still apart is verified in
-place, under the first bucket that it shares, and gives a row only if it connects. So no link is lost, no
-pairs of a group are written out, and a large group of copies costs about one comparison a member; a bucket
-of many documents that are alike just below the threshold is compared in full, in its tasks. A large bucket
-is cut into tiles that meet in pairs, each pair a task's work.
+"""SimHash near-duplicates by five-word shingles: a Jaccard similarity of 0.8 or more of their sets.
+
+The method is that of ``simhash`` with a longer fingerprint, as radius 4 of 64 bits misses most pairs of
+0.8. Words are those of ``simhash`` (white space, A-Z lower-cased). Documents with the same set of
+shingles are one vertex. A fingerprint has 448 bits, each the sign of a sum of random weights of the
+shingles: at similarity 0.8 a pair differs in 68 bits with a deviation of 7.6, so ``RADIUS`` = 104 misses
+about one pair in a million, above 0.8 fewer.
+
+Fingerprints are cut into 32 segments of 14 bits. Two that differ in at most one bit of a segment share a
+variant of it in which that one bit is a wildcard; at similarity 0.8 that holds for a segment with
+probability 0.35, for none of the 32 about once in a million times (four for sets of four and five
+shingles). The wildcard stands in one half of the segment, so vertices are shuffled by equality of the
+other half, and a task indexes what meets under the variants. A pair equal in a whole segment is
+taken up under its first variant only.
+
+A variant gives a spanning forest of the pairs within the radius, nearest first; segments are taken in
+rounds, and what is connected already is not compared again. So star contraction gives clusters that hold
+all pairs that meet, and each pair of the forests is verified by the exact similarity of the two
+sets. A cluster whose pairs all hold is done. In the others the texts come together, and every pair within the
+radius that is still apart is verified in place and gives a row only if it connects. So no link is
+lost, no pairs of a group are written out, and a large group of copies costs about one comparison a member; a
+cluster of many documents that are alike just below the threshold is compared in full, in its tasks. A
+large cluster is cut into tiles that meet in pairs, each pair a task's work.
 """
 
 from __future__ import annotations
@@ -30,21 +38,29 @@ from driftloom.llm.simhash import shingle_hashes, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 26, 4
-#: 64-bit words of a sketch.
-WORDS64 = 7
-#: Shingles that are hashed at once.
-BLOCK = 1 << 12
-#: Minima in which candidates agree at least, and from which on a pair is taken up first.
-ALIKE, SURE = 62, 95
-#: Members of a tile of a bucket; tasks over which the pairs of one document are spread at most.
-TILE, SPREAD = 512, 64
+RADIUS = 104
+#: A fingerprint is a byte for each half of a segment, with bits in the lower seven.
+SEGMENTS, HALF = 32, 7
+HALVES = 2 * SEGMENTS
+WORDS64 = HALVES // 8
+#: Bits in which a word of a fingerprint (56 bits) differs at most, where the whole is within the radius: at
+#: similarity 0.8 it differs in 8.5 with a deviation of 2.7, and about one pair in ten million in more.
+FIRST = 24
+#: Segments of each round.
+ROUNDS = ((0, 4), (4, 18), (18, 32))
+#: Shingles whose weights are summed at once (the sums of 16 bits hold 257).
+BLOCK = 256
+#: Pairs that are compared at once.
+PAIRS = 1 << 18
+#: Members of a tile of those that share half a segment, and of a cluster whose texts come together;
+#: tasks over which the pairs of one document are spread at most.
+PART, TILE, SPREAD = 1 << 16, 512, 64
 #: Rows to drop (17 bytes each) up to which they are sent to all tasks, instead of the documents being shuffled.
 SENT = 500_000
 _random = np.random.Generator(np.random.PCG64(0x5EED))
-_XOR = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
-_ODD = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
-_JOIN = _random.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_XOR = _random.integers(0, 1 << 64, (HALF * WORDS64, 1), np.uint64)
+_ODD = _random.integers(0, 1 << 64, (HALF * WORDS64, 1), np.uint64) | np.uint64(1)
+_EVEN = np.uint64(0x00FF00FF00FF00FF)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -53,37 +69,22 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    """The least hash of a set under each of the hash functions."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """The 64 halves (bytes) of the fingerprint of a set. A bit is 1 if the weights of the shingles, bytes of
+    their mixed hashes, are above their mean in the sum."""
+    low, high = np.zeros((len(_XOR), 4), np.int64), np.zeros((len(_XOR), 4), np.int64)
     for at in range(0, len(h), BLOCK):
-        least = np.minimum(least, ((h[at : at + BLOCK] ^ _XOR) * _ODD).min(axis=1))
-    return least
+        x = (h[at : at + BLOCK] ^ _XOR) * _ODD
+        x ^= x >> np.uint64(32)
+        low += (x & _EVEN).sum(axis=1, dtype=np.uint64).astype("<u8").view("<u2").reshape(-1, 4)
+        high += ((x >> np.uint64(8)) & _EVEN).sum(axis=1, dtype=np.uint64).astype("<u8").view("<u2").reshape(-1, 4)
+    bits = 2 * np.concatenate((low, high), axis=1) > 255 * len(h)
+    return np.packbits(bits.reshape(HALVES, HALF), axis=1, bitorder="little").ravel()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
-
-
-def bands(least: np.ndarray) -> np.ndarray:
-    """The band keys of the minima."""
-    return _mixed((least.reshape(BANDS, ROWS) * _JOIN).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-
-
-def sketch(least: np.ndarray) -> bytes:
-    """Four bits of each of the minima, in words of 64 bits."""
-    bits = np.zeros(16 * WORDS64, np.uint8)
-    bits[: len(least)] = (_mixed(least) >> np.uint64(60)).astype(np.uint8)
-    return (bits[::2] | bits[1::2] << 4).tobytes()
-
-
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many minima the sketches (rows of 64-bit words) agree."""
-    d = x ^ y
-    d |= d >> np.uint64(1)
-    d |= d >> np.uint64(2)
-    return BANDS * ROWS - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints (rows of 64-bit words) differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -93,17 +94,31 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        v, n, keys, sketches = [], [], [], []
+        v, n, prints = [], [], []
         for t in b.column(3):
             h = shingle_set(t.as_py())
-            least = minima(h)
             v.append(xxhash.xxh64_intdigest(h.tobytes()))
             n.append(len(h))
-            keys.append(bands(least).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            sketches.append(sketch(least))
+            prints.append(fingerprint(h).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [*b.columns[:3], pa.array(np.array(v, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-            names=["doc_id", "rk1", "rk2", "v", "n", "keys", "sketch"])
+            [*b.columns[:3], pa.array(np.array(v, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(prints, pa.binary())],
+            names=["doc_id", "rk1", "rk2", "v", "n", "fp"])
+
+
+def _routes(first: int, end: int):
+    """For each vertex (v, n, fp, root) a row (key, v, n, fp, root) for each half of the segments, its key the
+    number and the bits of the half."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves = np.arange(2 * first, 2 * end)
+        step = max(1, PAIRS // 8 // len(halves))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                keys = halves << HALF | _words(part.column(2)).view(np.uint8)[:, halves]
+                rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), len(halves))))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int32()), *rows.columns], names=["key", *rows.schema.names])
+
+    return run
 
 
 def _unequal(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -111,18 +126,91 @@ def _unequal(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.minimum(n, m) < np.maximum(n, m) * (threshold - 1e-9)
 
 
-def candidates(v: np.ndarray, n: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, threshold: float, holds: Callable[[int, int], bool] = lambda i, j: True) -> list[tuple[int, int]]:
-    """Candidate pairs (i, j) of a member on the left and a later one on the right that hold, as many as
-    connect all groups that can be connected; those that agree most come first."""
+class Forest:
+    """A spanning forest of pairs among members that have the given labels."""
+
+    def __init__(self, label: np.ndarray):
+        self.label, self.pairs = np.unique(label, return_inverse=True)[1], []
+        self.parent = np.arange(len(label))
+
+    def _root(self, x: int) -> int:
+        while self.parent[x] != x:
+            x = self.parent[x] = self.parent[self.parent[x]]
+        return x
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Takes the pairs that connect, in this order."""
+        before = len(self.pairs)
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = self._root(self.label[x]), self._root(self.label[y])
+            if a != b:
+                self.parent[b] = a
+                self.pairs.append((x, y))
+        if len(self.pairs) > before:
+            while (self.parent[self.parent] != self.parent).any():
+                self.parent = self.parent[self.parent]
+            self.label = self.parent[self.label]
+
+
+def _compare(forest: Forest, x: np.ndarray, y: np.ndarray, word: int, n: np.ndarray, words: np.ndarray, tile: np.ndarray | None, threshold: float, radius: int) -> None:
+    """The pairs of a member in ``x`` and one in ``y`` (each member of x in any order), where still apart."""
+    x, at = x[np.argsort(forest.label[x], kind="stable")], 0
+    while at < len(x):
+        a = x[at : at + max(1, PAIRS // len(y))]
+        at += len(a)
+        b, labels = y, forest.label[a]
+        if labels[0] == labels[-1]:
+            b = y[forest.label[y] != labels[0]]
+            if not len(b):
+                continue
+        i, j = np.nonzero(np.bitwise_count(words[a, word][:, None] ^ words[b, word]) <= FIRST)
+        i, j = a[i], b[j]
+        held = (forest.label[i] != forest.label[j]) & ~_unequal(n[i], n[j], threshold)
+        if tile is not None:
+            held &= tile[i] != tile[j]
+        i, j = i[held], j[held]
+        far = distance(words[i], words[j])
+        near = np.flatnonzero(far <= radius)
+        near = near[np.lexsort((j[near], i[near], far[near]))]
+        forest.add(i[near], j[near])
+
+
+def meetings(half: int, label: np.ndarray, n: np.ndarray, words: np.ndarray, tile: np.ndarray | None = None, threshold: float = THRESHOLD, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """A forest of the pairs within the radius among members equal in this half of a segment that share a
+    variant with the wildcard in the other half; with tiles, pairs of two tiles only."""
+    forest = Forest(label)
+    value = words.view(np.uint8)[:, half ^ 1]
+    word = (half // 8 + 1) % WORDS64  # one that the segment is not in
+    for p in range(HALF):
+        wild = value & ~np.uint8(1 << p)
+        order = np.argsort(wild, kind="stable")
+        for s, e in _runs(wild[order]):
+            if e - s < 2:
+                continue
+            run = order[s:e]
+            ones = value[run] >> p & 1 == 1
+            zero, one = run[~ones], run[ones]
+            if len(zero) and len(one):
+                _compare(forest, zero, one, word, n, words, tile, threshold, radius)
+            if p == 0 and half % 2 == 0:  # equal in the whole segment
+                for same in (zero, one):
+                    if len(same) > 1:
+                        _compare(forest, same, same, word, n, words, tile, threshold, radius)
+    return forest.pairs
+
+
+def candidates(n: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, threshold: float, radius: int, holds: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs (i, j) within the radius of a member on the left and a later one on the right that hold, as many
+    as connect all groups that can be connected; the nearest come first."""
     out, label = [], group.copy()
     for j in np.flatnonzero(right).tolist():
         near = np.flatnonzero(left[:j] & (label[:j] != label[j]))
         if not len(near):
             continue
-        alike = agreement(words[near], words[j])
-        held = (alike >= ALIKE) & ~_unequal(n[near], n[j], threshold)
-        near, alike = near[held], alike[held]
-        for i in near[np.lexsort((near, -np.minimum(alike, SURE)))].tolist():
+        far = distance(words[near], words[j])
+        held = (far <= radius) & ~_unequal(n[near], n[j], threshold)
+        near, far = near[held], far[held]
+        for i in near[np.lexsort((near, far))].tolist():
             if label[i] != label[j] and holds(i, j):
                 out.append((i, j))
                 label[label == label[i]] = label[j]
@@ -131,10 +219,13 @@ def candidates(v: np.ndarray, n: np.ndarray, words: np.ndarray, left: np.ndarray
     return out
 
 
+def _words(prints: pa.Array) -> np.ndarray:
+    fixed = prints.cast(pa.binary(8 * WORDS64))
+    return np.frombuffer(fixed.buffers()[1], np.uint64)[WORDS64 * fixed.offset :][: WORDS64 * len(fixed)].reshape(-1, WORDS64)
+
+
 def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
-    fixed = t["sketch"].cast(pa.binary(8 * WORDS64)).combine_chunks()
-    words = np.frombuffer(fixed.buffers()[1], np.uint64)[WORDS64 * fixed.offset :][: WORDS64 * len(fixed)].reshape(-1, WORDS64)
-    return *(t[c].to_numpy() for c in ("i", "j", "tile", "v", "n")), words
+    return *(t[c].to_numpy() for c in ("i", "j", "tile", "v", "n", "root")), _words(t["fp"].combine_chunks())
 
 
 def _sides(ti: int, tj: int, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,39 +252,32 @@ def _by_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def _edges(a: np.ndarray, b: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({**more, "a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _pairs(threshold: float):
-    """A forest of candidate pairs of each run of rows (key, i, j, tile, v, n, sketch)."""
+def _pairs(threshold: float, radius: int):
+    """A forest of the pairs that meet in each run of rows (key, v, n, fp, root, tile, i, j)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_run(batches):
-            (ti, tj, tile, v, n, words), key, found = _columns(t), t["key"].to_numpy(), []
+            (ti, tj, tile, v, n, root, words), key, found = _columns(t), t["key"].to_numpy(), []
             for s, e in _runs(key, ti, tj):
-                if e - s == 2 and ti[s] == tj[s]:  # most buckets
-                    if agreement(words[s], words[s + 1]) >= ALIKE and not _unequal(n[s], n[s + 1], threshold):
-                        found.append((s, s + 1))
-                elif e - s > 1:
-                    order, left, right = _sides(ti[s], tj[s], tile[s:e])
-                    order = s + order
-                    found += [(order[i], order[j]) for i, j in candidates(v[order], n[order], words[order], left, right, np.arange(e - s), threshold)]
+                if e - s > 1:
+                    found += [(s + i, s + j) for i, j in meetings(int(key[s]) >> HALF, root[s:e], n[s:e], words[s:e], tile[s:e] if ti[s] != tj[s] else None, threshold, radius)]
             at = np.array(found, np.int64).reshape(-1, 2)
-            yield _edges(v[at[:, 0]], v[at[:, 1]], key=key[at[:, 0]])
+            yield _edges(v[at[:, 0]], v[at[:, 1]])
 
     return run
 
 
-def _links(threshold: float):
-    """Verified links that connect the roots in each run of rows (key, i, j, tile, v, n, sketch, keys,
-    root, text)."""
+def _links(threshold: float, radius: int):
+    """Verified links that connect the roots in each run of rows (key, v, n, fp, root, text, tile, i, j)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_run(batches):
-            (ti, tj, tile, v, n, words), key, root, found = _columns(t), t["key"].to_numpy(), t["root"].to_numpy(), []
-            keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            for s, e in _runs(key, ti, tj):
+            (ti, tj, tile, v, n, root, words), found = _columns(t), []
+            for s, e in _runs(t["key"].to_numpy(), ti, tj):
                 order, left, right = _sides(ti[s], tj[s], tile[s:e])
-                order, band, sets = s + order, int(np.argmax(keys[s] == key[s])), {}
+                order, sets = s + order, {}
 
                 def shingles(k: int) -> np.ndarray:
                     if k not in sets:
@@ -201,12 +285,10 @@ def _links(threshold: float):
                     return sets[k]
 
                 def holds(i: int, j: int) -> bool:
-                    if (keys[order[i]][:band] == keys[order[j]][:band]).any():
-                        return False  # an earlier bucket has seen to it
                     return jaccard(shingles(i), shingles(j)) >= threshold
 
                 group = np.unique(root[order], return_inverse=True)[1]
-                found += [(order[i], order[j]) for i, j in candidates(v[order], n[order], words[order], left, right, group, threshold, holds)]
+                found += [(order[i], order[j]) for i, j in candidates(n[order], words[order], left, right, group, threshold, radius, holds)]
             at = np.array(found, np.int64).reshape(-1, 2)
             yield _edges(v[at[:, 0]], v[at[:, 1]])
 
@@ -249,9 +331,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return materialise(rows.mapInArrow(_verifier(threshold), "a long, b long, ok boolean"), "shingle-tested")
 
 
-def _tiled(members: DataFrame, large: DataFrame) -> DataFrame:
-    """The members (key, v, ...) of buckets, those of the ``large`` ones (key, tiles) in pairs of tiles,
-    dealt and sorted by key, i and j."""
+def _tiled(members: DataFrame, size: int) -> DataFrame:
+    """The members (key, v, ...) of groups, those of the groups above ``size`` in pairs of tiles, dealt and
+    sorted by key, i and j."""
+    large = members.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles")).where("tiles > 1")
+    large = materialise(large, "shingle-large")
     rows = members.join(large, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -259,40 +343,63 @@ def _tiled(members: DataFrame, large: DataFrame) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "v")
 
 
-def components(docs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+def _rooted(vertices: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``vertices`` (v, ...) with the root of their component; their own v where they have none."""
+    if roots is None:
+        return vertices.withColumn("root", F.col("v"))
+    return vertices.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+
+
+def _tree(roots: DataFrame) -> DataFrame:
+    return roots.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))
+
+
+def links(vertices: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) of ``vertices`` (v, n, fp) within the radius, and (v, root) for the clusters that they
+    make: all pairs within it that share a variant of a segment are in one cluster."""
+    found, clusters = None, None
+    for first, end in ROUNDS:
+        members = _rooted(vertices, clusters).mapInArrow(_routes(first, end), "key int, v long, n long, fp binary, root long")
+        part = materialise(_tiled(members, PART).mapInArrow(_pairs(threshold, radius), "a long, b long"), "shingle-pairs")
+        found = part if found is None else found.unionByName(part)
+        if not part.isEmpty():
+            clusters = connected_components(part if clusters is None else part.unionByName(_tree(clusters)))
+    return found.distinct(), clusters
+
+
+def components(docs: DataFrame, rows: DataFrame, threshold: float, radius: int) -> DataFrame | None:
     """(v, root) for each vertex of ``rows`` that has a link; no rows without any."""
-    vertices = rows.groupBy("v").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min(F.struct("rk1", "rk2")).alias("rk"))
+    vertices = rows.where("n > 0").groupBy("v").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct("rk1", "rk2")).alias("rk"))
     vertices = materialise(vertices, "shingle-vertices")
-    members = vertices.select(F.explode("keys").alias("key"), "v", "n", "sketch")
-    large = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
-    large = materialise(large, "shingle-large")
-    chosen = materialise(_tiled(members, large).mapInArrow(_pairs(threshold), "key long, a long, b long"), "shingle-pairs")
-    held = vertices.join(chosen.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", "left_semi").select("v", "rk.rk1", "rk.rk2")
+    chosen, clusters = links(vertices.select("v", "n", "fp"), threshold, radius)
+    if clusters is None:
+        return None
+    held = vertices.join(clusters, "v", "left_semi").select("v", "rk.rk1", "rk.rk2")
     texts = materialise(docs.select(*hash128("doc_id", "text"), "text").join(held, ["rk1", "rk2"]).select("v", "text").dropDuplicates(["v"]), "shingle-texts")
-    tested = verified(chosen.select("a", "b").distinct(), texts, threshold)
+    tested = verified(chosen, texts, threshold)
     roots = connected_components(tested.where("ok").select("a", "b"))
-    # Buckets in which a pair of the forest does not hold: whatever candidates are still apart there.
-    open_keys = chosen.join(tested.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
-    apart = chosen.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("v")).distinct()
-    apart = apart.join(vertices.select("v", "n", "keys", "sketch"), "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    # Clusters in which a pair of the forest does not hold: whatever is still apart there.
+    open_clusters = tested.where("not ok").join(clusters, F.col("a") == F.col("v")).select(F.col("root").alias("key")).distinct()
+    sizes = clusters.withColumnRenamed("root", "key").join(open_clusters, "key", "left_semi").groupBy("key").agg(F.count("*").alias("size"))
+    apart = clusters.withColumnRenamed("root", "key").join(sizes.where("size > 2").select("key"), "key", "left_semi")
+    apart = _rooted(apart.join(vertices.select("v", "n", "fp"), "v"), roots)
     several = apart.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
     apart = apart.join(several, "key", "left_semi").join(texts, "v")
-    more = materialise(_tiled(apart, large).mapInArrow(_links(threshold), "a long, b long"), "shingle-links")
+    more = materialise(_tiled(apart, TILE).mapInArrow(_links(threshold, radius), "a long, b long"), "shingle-links")
     if not more.isEmpty():
-        roots = connected_components(more.unionByName(roots.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))))
-    for table in (chosen, texts, tested, large):
+        roots = connected_components(more.unionByName(_tree(roots)))
+    for table in (texts, tested):
         discard(table)
     return roots
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one document of each component of links: the one with the smallest
     doc_id (rows without doc_id come last; then the smallest row key). All columns are kept; null and
     empty texts are one group."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hash128("doc_id", "text"), "text")
-    rows = materialise(rows.mapInArrow(_signed, "doc_id long, rk1 long, rk2 long, v long, n long, keys array<long>, sketch binary"), "shingle-rows")
-    roots = components(docs, rows, threshold)
-    found = rows.select("doc_id", "rk1", "rk2", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    rows = materialise(rows.mapInArrow(_signed, "doc_id long, rk1 long, rk2 long, v long, n long, fp binary"), "shingle-rows")
+    found = _rooted(rows.select("doc_id", "rk1", "rk2", "v"), components(docs, rows, threshold, radius))
     # Rows of a component may be many: the least one of each is found before they meet.
     best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "rk1", "rk2")).alias("k"))
     best = materialise(best.select(F.col("k.rk1").alias("_rk1"), F.col("k.rk2").alias("_rk2")), "shingle-kept")

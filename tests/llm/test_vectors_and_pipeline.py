@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from driftloom.llm import embed_dedup, entry
+from driftloom.llm import embed_dedup, entry, shingle_dedup
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -155,6 +155,86 @@ def test_pipeline_near_copies(spark):
     assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
 
 
+def near_sets(n, seed):
+    """Sets of shingle hashes, each with a copy whose similarity is 0.8 to 0.95."""
+    r, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        size = int(r.integers(9, 300))
+        own = r.integers(0, 1 << 64, size, np.uint64)
+        other = own.copy()
+        other[: r.integers(1, size // 9 + 1)] = r.integers(0, 1 << 64, 1, np.uint64)
+        out += [np.unique(own), np.unique(other)]
+    return out
+
+
+def test_pipeline_simhash_variants():
+    """Pairs of 0.8 lie within the radius and meet under a variant; a half of a segment gives a forest of
+    just the pairs that share a variant of it, also over two tiles."""
+    sets = near_sets(150, 4)
+    h, mean = sets[0], 255 * len(sets[0])
+    weights = ((h ^ shingle_dedup._XOR) * shingle_dedup._ODD)
+    weights = (weights ^ weights >> np.uint64(32)).astype("<u8")[:, :, None].view(np.uint8)
+    bits = [2 * int(weights[k, :, b].sum(dtype=np.int64)) > mean for k in range(56) for b in (0, 2, 4, 6, 1, 3, 5, 7)]
+    assert shingle_dedup.fingerprint(h).tolist() == [sum(bits[7 * q + p] << p for p in range(7)) for q in range(64)]
+    prints = np.array([shingle_dedup.fingerprint(h) for h in sets])
+    words, n = prints.view(np.uint64), np.array([len(h) for h in sets])
+    apart = np.bitwise_count(prints[:, None] ^ prints[None])
+    near = apart.sum(axis=2) <= shingle_dedup.RADIUS
+    alike = (apart.reshape(len(sets), len(sets), 32, 2).sum(axis=3) <= 1).any(axis=2)
+    for i in range(0, len(sets), 2):
+        if shingle_dedup.jaccard(sets[i], sets[i + 1]) >= 0.8:
+            assert near[i, i + 1] and alike[i, i + 1]
+    total, tile = 0, np.arange(len(sets)) % 2
+    for half in range(64):
+        for value in np.unique(prints[:, half]):
+            at = np.flatnonzero(prints[:, half] == value)
+            for tiles in (None, tile[at]):
+                pairs = shingle_dedup.meetings(half, at, n[at], words[at], tiles)
+                total += len(pairs)
+                root = np.arange(len(at))
+                for i, j in pairs:
+                    root[root == root[j]] = root[i]
+                other = half ^ 1
+                held = near[np.ix_(at, at)] & (apart[at[:, None], at[None], other] <= 1)
+                held &= np.minimum(n[at][:, None], n[at]) >= 0.8 * np.maximum(n[at][:, None], n[at])
+                if half % 2:  # pairs equal in the whole segment are taken up under the first half
+                    held &= apart[at[:, None], at[None], other] == 1
+                if tiles is not None:
+                    held &= tiles[:, None] != tiles
+                want = np.arange(len(at))
+                for i, j in np.argwhere(held):
+                    want[want == want[j]] = want[i]
+                assert ((root[:, None] == root) == (want[:, None] == want)).all()
+    assert total > 500
+
+
+def test_pipeline_links_come_by_simhash(spark):
+    """The near-duplicate stage finds its pairs by the fingerprints: none within a radius that holds none. A link
+    that the forest of its cluster has left out is found too."""
+    r = random.Random(5)
+    body = [f"w{r.randrange(5000)}" for _ in range(300)]
+    rows = [(i, " ".join([*body[:k], f"x{i}", *body[k + 1 :]])) for i, k in enumerate(range(20, 290, 30))]
+    docs = spark.createDataFrame([*rows, (50, "  " + rows[4][1].upper())], "doc_id long, text string")
+    assert [x.doc_id for x in shingle_dedup.deduplicate(docs).collect()] == [0]
+    assert sorted(x.doc_id for x in shingle_dedup.deduplicate(docs, radius=-1).collect()) == [i for i, _ in rows]
+    # 0.67 to 0.77 to the hub, of which some are 0.8 or more to one another.
+    hub, rows = [f"h{k}" for k in range(200)], []
+    for i in range(60):
+        copy = list(hub)
+        for k in range(i % 6, 6 + i % 3):
+            copy[10 + 30 * (k % 6)] = f"y{i % 12}{k}"
+        rows.append([*copy, *(f"z{i}{k}" for k in range(i // 12 * 4))])
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    assert sorted(x.doc_id for x in shingle_dedup.deduplicate(docs).collect()) == sorted(set(root)) and 1 < len(set(root)) < 50
+
+
 def test_registered():
     names = list(driver.queries())
     assert [n for n in names if re.match(r"op\d+_", n)] == list(entry.QUERIES) and "pipeline" in names
