@@ -46,12 +46,12 @@ WORDS64 = HALVES // 8
 #: Bits in which a word of a fingerprint (56 bits) differs at most, where the whole is within the radius: at
 #: similarity 0.8 it differs in 8.5 with a deviation of 2.7, and about one pair in ten million in more.
 FIRST = 24
-#: Segments of each round.
-ROUNDS = ((0, 4), (4, 18), (18, 32))
+#: Segments of each round; the first connects most of what is alike, so that later forests are small.
+ROUNDS = ((0, 1), (1, 16), (16, 32))
 #: Shingles whose weights are summed at once (the sums of 16 bits hold 257).
 BLOCK = 256
-#: Pairs that are compared at once.
-PAIRS = 1 << 18
+#: Pairs that are compared at once; members of a variant from which on those connected are set aside first.
+PAIRS, MANY = 1 << 18, 512
 #: Members of a tile of those that share half a segment, and of a cluster whose texts come together;
 #: tasks over which the pairs of one document are spread at most.
 PART, TILE, SPREAD = 1 << 16, 512, 64
@@ -152,8 +152,35 @@ class Forest:
             self.label = self.parent[self.label]
 
 
-def _compare(forest: Forest, x: np.ndarray, y: np.ndarray, word: int, n: np.ndarray, words: np.ndarray, tile: np.ndarray | None, threshold: float, radius: int) -> None:
-    """The pairs of a member in ``x`` and one in ``y`` (each member of x in any order), where still apart."""
+def _take(forest: Forest, i: np.ndarray, j: np.ndarray, n: np.ndarray, words: np.ndarray, tile: np.ndarray | None, threshold: float, radius: int) -> None:
+    """Those of the pairs within the radius that connect, nearest first."""
+    held = (forest.label[i] != forest.label[j]) & ~_unequal(n[i], n[j], threshold)
+    if tile is not None:
+        held &= tile[i] != tile[j]
+    i, j = i[held], j[held]
+    far = distance(words[i], words[j])
+    near = np.flatnonzero(far <= radius)
+    if len(near):
+        near = near[np.lexsort((j[near], i[near], far[near]))]
+        forest.add(i[near], j[near])
+
+
+def _few(forest: Forest, order: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, word: np.ndarray, *rest) -> None:
+    """The pairs of each member ``order[at]`` with those from ``low`` to ``high`` in the order."""
+    count, start = high - low, 0
+    upto = np.cumsum(count)
+    while start < len(at):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+        c = count[start:end]
+        i = order[np.repeat(at[start:end], c)]
+        j = order[np.repeat(low[start:end] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+        near = np.flatnonzero(np.bitwise_count(word[i] ^ word[j]) <= FIRST)
+        _take(forest, i[near], j[near], *rest)
+        start = end
+
+
+def _many(forest: Forest, x: np.ndarray, y: np.ndarray, word: np.ndarray, *rest) -> None:
+    """The pairs of a member in ``x`` and one in ``y``, where still apart."""
     x, at = x[np.argsort(forest.label[x], kind="stable")], 0
     while at < len(x):
         a = x[at : at + max(1, PAIRS // len(y))]
@@ -161,18 +188,8 @@ def _compare(forest: Forest, x: np.ndarray, y: np.ndarray, word: int, n: np.ndar
         b, labels = y, forest.label[a]
         if labels[0] == labels[-1]:
             b = y[forest.label[y] != labels[0]]
-            if not len(b):
-                continue
-        i, j = np.nonzero(np.bitwise_count(words[a, word][:, None] ^ words[b, word]) <= FIRST)
-        i, j = a[i], b[j]
-        held = (forest.label[i] != forest.label[j]) & ~_unequal(n[i], n[j], threshold)
-        if tile is not None:
-            held &= tile[i] != tile[j]
-        i, j = i[held], j[held]
-        far = distance(words[i], words[j])
-        near = np.flatnonzero(far <= radius)
-        near = near[np.lexsort((j[near], i[near], far[near]))]
-        forest.add(i[near], j[near])
+        i, j = np.nonzero(np.bitwise_count(word[a][:, None] ^ word[b]) <= FIRST)
+        _take(forest, a[i], b[j], *rest)
 
 
 def meetings(half: int, label: np.ndarray, n: np.ndarray, words: np.ndarray, tile: np.ndarray | None = None, threshold: float = THRESHOLD, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -180,22 +197,25 @@ def meetings(half: int, label: np.ndarray, n: np.ndarray, words: np.ndarray, til
     variant with the wildcard in the other half; with tiles, pairs of two tiles only."""
     forest = Forest(label)
     value = words.view(np.uint8)[:, half ^ 1]
-    word = (half // 8 + 1) % WORDS64  # one that the segment is not in
+    word = np.ascontiguousarray(words[:, (half // 8 + 1) % WORDS64])  # one that the segment is not in
+    rest = (n, words, tile, threshold, radius)
     for p in range(HALF):
-        wild = value & ~np.uint8(1 << p)
-        order = np.argsort(wild, kind="stable")
-        for s, e in _runs(wild[order]):
-            if e - s < 2:
-                continue
-            run = order[s:e]
-            ones = value[run] >> p & 1 == 1
-            zero, one = run[~ones], run[ones]
-            if len(zero) and len(one):
-                _compare(forest, zero, one, word, n, words, tile, threshold, radius)
-            if p == 0 and half % 2 == 0:  # equal in the whole segment
-                for same in (zero, one):
-                    if len(same) > 1:
-                        _compare(forest, same, same, word, n, words, tile, threshold, radius)
+        equal = p == 0 and half % 2 == 0  # also the pairs that are equal in the whole segment
+        wild, one = value & ~np.uint8(1 << p), value >> p & 1
+        order = np.lexsort((one, wild))
+        runs = np.array(_runs(wild[order]))
+        sizes = runs[:, 1] - runs[:, 0]
+        zeros = sizes - np.add.reduceat(one[order], runs[:, 0], dtype=np.int64)
+        at, ends = np.arange(len(order)), np.repeat(runs[:, 1], sizes)
+        low = at + 1 if equal else np.where(one[order] == 0, np.repeat(runs[:, 0] + zeros, sizes), ends)
+        few = np.flatnonzero((np.repeat(sizes, sizes) <= MANY) & (low < ends))
+        _few(forest, order, few, low[few], ends[few], word, *rest)
+        for k in np.flatnonzero(sizes > MANY).tolist():
+            run = order[runs[k, 0] : runs[k, 1]]
+            x, y = run[: zeros[k]], run[zeros[k] :]
+            for a, b in ((x, y), (x, x), (y, y)) if equal else ((x, y),):
+                if len(a) and len(b):
+                    _many(forest, a, b, word, *rest)
     return forest.pairs
 
 
